@@ -30,6 +30,10 @@ def split_chunks(text: str) -> list[str]:
     return re.findall(r"\w+|\d+|[^\w\s]", text.lower())
 
 
+def has_prefix(toks: Column, prefix: str) -> Column:
+    return F.exists(toks, lambda t: t.startswith(prefix))
+
+
 def has_phrase(toks: Column, words: list[str]) -> Column:
     """The words stand in a row among the tokens."""
     if not words:
@@ -77,7 +81,7 @@ def text_query(toks: Column, query: str) -> Column:
         if part in "&|)":
             raise ValueError(f"text query {query!r} has {part!r} where a word is expected")
         if part.endswith(":*"):
-            return F.exists(toks, lambda t: t.startswith(part[:-2]))
+            return has_prefix(toks, part[:-2])
         return F.array_contains(toks, part)
 
     if not parts:

@@ -86,7 +86,7 @@ def _leaf(kind: str, spec: dict, payload: Column) -> Column:
     if kind == "wildcard":
         toks = T.tokens(_text(spec, payload))
         words = [w for w in str(value).lower().split() if w.strip("*")]
-        tests = [F.exists(toks, lambda t, w=w: t.startswith(w.rstrip("*"))) if w.endswith("*") else F.array_contains(toks, w) for w in words]
+        tests = [T.has_prefix(toks, w.rstrip("*")) if w.endswith("*") else F.array_contains(toks, w) for w in words]
         return reduce(lambda a, b: a & b, tests) if tests else F.lit(False)
     if kind == "range":
         bounds = spec.get("range") or {k: spec[k] for k in ("gte", "lte", "gt", "lt", "eq") if spec.get(k) is not None}

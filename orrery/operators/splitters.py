@@ -51,9 +51,12 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
-def split_sentences(col: pd.Series) -> pd.Series:
-    return col.map(sentences)
+def split_sentences(col: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(sentences)
+
+    return run(col)
 
 
 def grouped(pieces: list[str], budget: int, count: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
