@@ -78,17 +78,17 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeats cut out of the text, and removed_spans with their offsets in the original one."""
-    spans = repeated_units(docs, id_col, text_col, unit, min_words).where("n_removed > 0").select(F.col("doc_id").alias("span_id"), "removed").dropDuplicates(["span_id"])
+    spans = repeated_units(docs, id_col, text_col, unit, min_words).where("n_removed > 0").select(F.col("doc_id").alias("__span_id"), F.col("removed").alias("__spans")).dropDuplicates(["__span_id"])
     kept = [c for c in docs.columns if c not in (text_col, "removed_spans")]
-    joined = docs.select(*kept, text_col).join(spans, F.col(id_col).cast("long") == F.col("span_id"), "left")
+    joined = docs.select(*kept, text_col).join(spans, F.col(id_col).cast("long") == F.col("__span_id"), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col(text_col).cast("string")
 
     def part(acc, x):
         return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]))).alias("parts"))
 
-    rest = F.aggregate("removed", start, part, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*kept, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest).alias(text_col), F.col("removed").alias("removed_spans"))
+    rest = F.aggregate("__spans", start, part, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.select(*kept, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rest).alias(text_col), F.col("__spans").alias("removed_spans"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

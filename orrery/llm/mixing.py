@@ -67,12 +67,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Columns of docs named like the three new ones are replaced. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_copies", "mix_key")]
-    rates = source_rates(docs, source_col, targets, total, temperature).withColumn("mix_cdf", poisson_steps(F.col("rate")))
-    rates = rates.select(F.col("key").alias("mix_source"), F.col("mix_cdf"))
-    n = rates.select("mix_source").count()
-    named = docs.select(*kept, _key(source_col).alias("mix_source"), uniform(seed, F.col(id_col)).alias("mix_u"))
-    drawn = named.join(size_checked(rates, n, 1024, BROADCAST_BYTES), "mix_source")
-    count = F.size(F.filter("mix_cdf", lambda p: p <= F.col("mix_u")))
+    rates = source_rates(docs, source_col, targets, total, temperature).withColumn("__mix_cdf", poisson_steps(F.col("rate")))
+    rates = rates.select(F.col("key").alias("__mix_source"), F.col("__mix_cdf"))
+    n = rates.select("__mix_source").count()
+    named = docs.select(*kept, _key(source_col).alias("__mix_source"), uniform(seed, F.col(id_col)).alias("__mix_u"))
+    drawn = named.join(size_checked(rates, n, 1024, BROADCAST_BYTES), "__mix_source")
+    count = F.size(F.filter("__mix_cdf", lambda p: p <= F.col("__mix_u")))
     drawn = drawn.select(*kept, count.alias("mix_copies")).where("mix_copies > 0")
     drawn = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = components(links.union(more))
     by_class = classes.select("class_key", "node").join(whole, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "class_key").join(by_class, "class_key", "left")
-    comp = F.coalesce("component", "id")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
