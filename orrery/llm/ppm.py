@@ -21,19 +21,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, held_out, materialize, size_checked, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import _LOWER, held_out, materialize, table, text_slices, word_hashes, word_spans
 
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
-CHUNK_BYTES = 16 << 20
-BROADCAST_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
+#: Symbol costs are sent to all executors up to this size, of 16 bytes for each; beyond it chunks get those they ask for.
+BROADCAST_BYTES = 64 << 20
 #: The blank that ends a word and stands before it, and the end of a text.
 BLANK, END = 0x20, 0x0A
 
-_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, slots binary, edges binary, wh long, word binary, slot int, code long, n long"
+_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, slots binary, words binary, wh long, slot int, code long, n long"
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -44,6 +45,18 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), size.size, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(_LOWER[data[at]].tobytes())]).cast(pa.binary())
 
 
+def _pack(words: pa.Array) -> bytes:
+    """Lengths and bytes of words."""
+    words = words.cast(pa.large_binary())
+    offs = np.frombuffer(words.buffers()[1], np.int64, count=len(words) + 1, offset=8 * words.offset)
+    return np.diff(offs).astype(np.uint32).tobytes() + words.buffers()[2].to_pybytes()[offs[0] : offs[-1]]
+
+
+def _unpack(blob: bytes, count: int) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum(np.frombuffer(blob, np.uint32, count=count))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(offs), pa.py_buffer(blob[4 * count :])])
+
+
 def _edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each word, in one number, the last four bytes of blank and word, and the first four symbols of word and blank."""
     size, low = ends - starts, _LOWER[data]
@@ -104,28 +117,27 @@ def _chunked(order: int):
             train = np.repeat(~outs, sizes)
             n = np.bincount(slot[train], minlength=uniq.size)
             press = zstandard.ZstdCompressor(level=1)
+            picked: list[pa.Array] = [pa.array([], pa.binary())]
+            seen = np.sort(at)
+            for k, (data, s, e) in enumerate(words):
+                own = seen[np.searchsorted(seen, starts[k]) : np.searchsorted(seen, starts[k + 1])] - starts[k]
+                picked.append(_gather(data, s[own], e[own]))
+            text = pa.concat_arrays(picked).take(pa.array(np.argsort(np.argsort(at))))  # from the order of first places to that of slots
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
             lists = {"ids": pa.ListArray.from_arrays(pa.array([0, sizes.size], pa.int32()), pa.concat_arrays(ids)), "held": one(outs, pa.bool_()), "sizes": one(sizes, pa.int64())}
-            blobs = {"slots": press.compress(slot.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()), "edges": press.compress(edges[at].tobytes())}
+            blobs = {"slots": press.compress(slot.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()), "words": press.compress(_pack(text))}
             yield rows(1, **lists, **{k: pa.array([v], pa.binary()) for k, v in blobs.items()})
             pair, index = np.unique(_pairs(edges, sizes), return_inverse=True)
-            weight = np.bincount(index, np.concatenate([train, ~outs]), minlength=pair.size).astype(np.int64)
+            weight = np.bincount(index, np.concatenate([train, ~outs]), minlength=pair.size)
             codes, own = pair_codes(pair, order)
-            code, index = np.unique(codes, return_inverse=True)
-            weight = np.bincount(index, weight[own], minlength=code.size).astype(np.int64)
+            inner, of = word_codes(text, order)
+            code, index = np.unique(np.concatenate([codes, inner]), return_inverse=True)
+            weight = np.bincount(index, np.concatenate([weight[own], n[of]]), minlength=code.size).astype(np.int64)
             for low in range(0, code.size, 50_000):
-                c = code[low : low + 50_000]
-                yield rows(c.size, code=pa.array(c.view(np.int64)), n=pa.array(weight[low : low + 50_000]))
-            picked: list[pa.Array] = [pa.array([], pa.binary())]
-            seen = np.sort(at)
-            for k, (data, s, e) in enumerate(words):
-                own = seen[np.searchsorted(seen, starts[k]) : np.searchsorted(seen, starts[k + 1])] - starts[k]
-                picked.append(_gather(data, s[own], e[own]))
-            order_ = np.argsort(at, kind="stable")  # the words came in the order of their first places
-            text = pa.concat_arrays(picked)
+                yield rows(code[low : low + 50_000].size, code=pa.array(code[low : low + 50_000].view(np.int64)), n=pa.array(weight[low : low + 50_000]))
             for low in range(0, uniq.size, 50_000):
-                o = order_[low : low + 50_000]
-                yield rows(o.size, wh=pa.array(uniq[o].view(np.int64)), word=text.slice(low, o.size), slot=pa.array(o.astype(np.int32)), n=pa.array(n[o].astype(np.int64)))
+                some = uniq[low : low + 50_000]
+                yield rows(some.size, wh=pa.array(some.view(np.int64)), slot=pa.array(np.arange(low, low + some.size, dtype=np.int32)), n=pa.array(n[low : low + 50_000].astype(np.int64)))
 
         for batch in batches:
             outs = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -142,7 +154,7 @@ def _chunked(order: int):
     return run
 
 
-_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "edges": pa.binary(), "wh": pa.int64(), "word": pa.binary(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
+_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "words": pa.binary(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
 
 def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The codes of the symbols of words, the blank after them included, that don't depend on the word before, and the word of each."""
@@ -163,64 +175,69 @@ def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, row
 
 
-def _count_codes(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, row = word_codes(batch.column(0), order)
-            uniq, at = np.unique(code, return_inverse=True)
-            n = np.zeros(uniq.size, dtype=np.int64)
-            np.add.at(n, at, batch.column(1).to_numpy()[row])
-            yield pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.int64)), pa.array(n)], names=["code", "n"])
+def _costs(order: int, pairs: np.ndarray):
+    """Costs of the codes of one two-byte context: all longer contexts lie in it; pairs are the counts of byte and next symbol."""
+    single = pairs.sum(axis=0)
+
+    def run(rows: pa.Table) -> pa.Table:
+        code, n = rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
+        cost, found = np.zeros(code.size), np.zeros(code.size, dtype=bool)
+        # What the context above excludes: distinct symbols, and their occurrences in the next shorter context.
+        q_above, e_above = np.zeros(code.size, np.int64), np.zeros(code.size, np.int64)
+        trained = n > 0
+        levels = {}
+        for k in range(order, 0, -1):
+            if k > 1:
+                mask = np.uint64((1 << (8 * (k + 1))) - 1)
+                g, at = np.unique(code[trained] & mask, return_inverse=True)
+                times = np.bincount(at, n[trained], minlength=g.size).astype(np.int64)
+            else:
+                c1 = code[0] >> np.uint64(8) & np.uint64(255)  # one for all rows
+                symbols = np.flatnonzero(pairs[c1])
+                g, times = (c1 << np.uint64(8)) | symbols.astype(np.uint64), pairs[c1][symbols]
+            levels[k] = (g, times)
+        g0 = np.flatnonzero(single)
+        levels[0] = (g0.astype(np.uint64), single[g0])
+        for k in range(order, -1, -1):
+            g, times = levels[k]
+            if not g.size:
+                continue
+            ctx, of = np.unique(g >> np.uint64(8), return_inverse=True)
+            total, distinct = np.bincount(of, times).astype(np.int64), np.bincount(of)
+            if k:
+                low, low_times = levels[k - 1]
+                next_ = g & np.uint64((1 << (8 * k)) - 1)
+                excluded = np.bincount(of, low_times[np.minimum(np.searchsorted(low, next_), low.size - 1)]).astype(np.int64)
+            else:
+                excluded = np.zeros(ctx.size, np.int64)
+            mine = code & np.uint64((1 << (8 * (k + 1))) - 1)
+            c = np.minimum(np.searchsorted(ctx, mine >> np.uint64(8)), ctx.size - 1)
+            s = np.minimum(np.searchsorted(g, mine), g.size - 1)
+            here = ~found & (ctx[c] == mine >> np.uint64(8))
+            hit = here & (g[s] == mine)
+            new = distinct[c] - q_above
+            whole = np.maximum(total[c] - e_above + new, 1).astype(np.float64)
+            cost += np.where(hit, np.log10(times[s] / whole), np.where(here & (new > 0), np.log10(np.maximum(new, 1) / whole), 0.0))
+            found |= hit
+            q_above, e_above = np.where(here, distinct[c], q_above), np.where(here, excluded[c], e_above)
+        cost -= np.where(found, 0.0, np.log10(np.maximum(256 - q_above, 1)))
+        return pa.table({"code": rows["code"], "cost": pa.array(cost)})
 
     return run
 
 
-def _spell(order: int):
-    """(wh, word) -> the codes of its symbols."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, row = word_codes(batch.column(1), order)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(code.astype(np.int64))], names=["wh", "code"])
-
-    return run
-
+def symbol_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, cost): log10 of the probability of each code's symbol after its context, for (code, n) with n 0 where not trained.
 
-def _low(code: str, k: int) -> Column:
-    return F.col(code).bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+    Codes meet by the last two bytes of their contexts; of shorter contexts only counts of two bytes, 65,536 at most, are sent about."""
+    low = counts.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    pairs[low["g"].to_numpy()] = low["n"].to_numpy()
+    by = F.expr("shiftright(code, 8) & 65535")
+    return counts.groupBy(by.alias("by")).applyInArrow(_costs(order, pairs.reshape(256, 256)), "code long, cost double")
 
 
-def symbol_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, cost): log10 of the probability of each code's symbol after its context, for (code, n) with n 0 where not trained."""
-    codes, grams_at, nodes_at = counts, {}, {}
-    for k in range(order, -1, -1):
-        g = counts.where("n > 0").groupBy(_low("code", k).alias(f"g{k}")).agg(F.sum("n").alias(f"n{k}"))
-        grams_at[k] = materialize(g, "grams")
-    for k in range(order, -1, -1):
-        g = grams_at[k].select(F.expr(f"shiftright(g{k}, 8)").alias(f"c{k}"), f"g{k}", f"n{k}")
-        if k:
-            g = g.withColumn(f"g{k - 1}", _low(f"g{k}", k - 1)).join(grams_at[k - 1], f"g{k - 1}")
-        excluded = F.sum(f"n{k - 1}") if k else F.lit(0)
-        nodes_at[k] = g.groupBy(f"c{k}").agg(F.sum(f"n{k}").alias(f"t{k}"), F.count("*").alias(f"q{k}"), excluded.cast("long").alias(f"e{k}"))
-    for k in range(order, -1, -1):
-        codes = codes.withColumn(f"g{k}", _low("code", k)).withColumn(f"c{k}", F.expr(f"shiftright(g{k}, 8)"))
-        codes = codes.join(grams_at[k], f"g{k}", "left").join(nodes_at[k], f"c{k}", "left")
-    # From the longest context down: the cost so far, whether the symbol was found, and what the context above excludes.
-    cost, found, e, q = F.lit(0.0), F.lit(False), F.lit(0), F.lit(0)
-    for k in range(order, -1, -1):
-        here = ~found & F.col(f"t{k}").isNotNull()
-        new = F.col(f"q{k}") - q
-        whole = (F.col(f"t{k}") - e + new).cast("double")
-        step = F.when(F.col(f"n{k}").isNotNull(), F.log10(F.col(f"n{k}") / whole)).when(new > 0, F.log10(new / whole)).otherwise(0.0)
-        cost = cost + F.when(here, step).otherwise(0.0)
-        e, q = F.when(here, F.col(f"e{k}")).otherwise(e), F.when(here, F.col(f"q{k}")).otherwise(q)
-        found = found | (here & F.col(f"n{k}").isNotNull())
-        codes = codes.withColumn(f"cost{k}", cost).withColumn(f"found{k}", found).withColumn(f"ee{k}", e).withColumn(f"qq{k}", q)
-        cost, found, e, q = (F.col(f"{x}{k}") for x in ("cost", "found", "ee", "qq"))
-    return codes.select("code", F.when(found, cost).otherwise(cost - F.log10((F.lit(256) - q).cast("double"))).alias("cost"))
-
-
-def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
+def _summed(order: int, n_train: int, train_tokens: int, distinct: int, shared):
     """Adds up a chunk: its row and, for its dictionary and its pairs' codes, counts and costs."""
     floor = math.log10(train_tokens + 0.1 * (distinct + 1))
     end = math.log10(n_train + 0.1) - floor
@@ -229,19 +246,27 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
         if chunk.num_rows == 0:
             return _OUT.empty_table()
         is_word = told["code"].is_null()
-        words, codes = told.filter(is_word), told.filter(pc.invert(is_word)).sort_by("code")
-        slots = words["slot"].to_numpy()
-        c, cost = np.zeros(slots.size), np.zeros(slots.size)
-        c[slots], cost[slots] = words["c"].to_numpy(), words["cost"].to_numpy()
-        ids, held, sizes, packed, edges = (chunk[x].combine_chunks() for x in ("ids", "held", "sizes", "slots", "edges"))
+        known = told.filter(is_word)
+        c = np.zeros(known.num_rows)
+        c[known["slot"].to_numpy()] = known["c"].to_numpy()
+        if shared is None:
+            asked = told.filter(pc.invert(is_word)).sort_by("code")
+            codes, costs = asked["code"].to_numpy().view(np.uint64), asked["cost"].to_numpy()
+        else:
+            codes, costs = shared.value
+        ids, held, sizes, packed, words = (chunk[x].combine_chunks() for x in ("ids", "held", "sizes", "slots", "words"))
         sizes = sizes.values.to_numpy()
         press = zstandard.ZstdDecompressor()
         slot = np.ascontiguousarray(np.frombuffer(press.decompress(packed[0].as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        text = _unpack(press.decompress(words[0].as_buffer()), c.size)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        pair, index = np.unique(_pairs(np.frombuffer(press.decompress(edges[0].as_buffer()), np.uint64)[slot], sizes), return_inverse=True)
+        inner, of = word_codes(text, order)
+        cost = np.bincount(of, costs[np.searchsorted(codes, inner)], minlength=c.size)
+        offs = np.frombuffer(text.buffers()[1], np.int64, count=c.size + 1)
+        edges = _edges(np.frombuffer(text.buffers()[2], np.uint8), offs[:-1], offs[1:])
+        pair, index = np.unique(_pairs(edges[slot], sizes), return_inverse=True)
         code, own = pair_codes(pair, order)
-        each = codes["cost"].to_numpy()[np.searchsorted(codes["code"].to_numpy(), code.view(np.int64))]
-        opening = np.bincount(own, each, minlength=pair.size)[index]
+        opening = np.bincount(own, costs[np.searchsorted(codes, code)], minlength=pair.size)[index]
 
         def total(x: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(x)])
@@ -259,7 +284,7 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS) -> DataFrame:  # order: 2 to 5
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # order: 2 to 5
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
     Trained on rows whose crc32(id as text) mod folds is not 0, whole corpus. score is log10 of the model's
@@ -271,22 +296,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), F.col(text_col).cast("string").alias("text"))
     n_train = source.where("not held").count()
     chunks = materialize(source.mapInArrow(_chunked(order), _CHUNKS), "chunks")
-    words = chunks.where("wh is not null").select("chunk", "wh", "word", "slot", "n")
-    stats = materialize(words.groupBy("wh", "word").agg(F.sum("n").alias("c")), "words")
+    words = chunks.where("wh is not null").select("chunk", "wh", "slot", "n")
+    stats = materialize(words.groupBy("wh").agg(F.sum("n").alias("c")), "words")
     seen = stats.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     distinct, train_tokens = seen.v + int(n_train > 0), (seen.n or 0) + n_train
-    openings = chunks.where("code is not null").select("chunk", "code", "n")
-    counts = stats.select("word", "c").mapInArrow(_count_codes(order), "code long, n long").union(openings.select("code", "n"))
-    counts = materialize(counts.groupBy("code").agg(F.sum("n").alias("n")), "codes")
-    costs = materialize(symbol_costs(counts, order), "costs")
-    costs = size_checked(costs, costs.count(), 48, BROADCAST_BYTES)
-    spelt = stats.select("wh", "word").mapInArrow(_spell(order), "wh long, code long")
-    by_word = spelt.join(costs, "code").groupBy("wh").agg(F.sum("cost").alias("cost"))
-    known = materialize(stats.select("wh", "c").join(by_word, "wh", "left").select("wh", "c", F.coalesce("cost", F.lit(0.0)).alias("cost")), "known")
-    told = words.select(F.col("chunk").alias("of"), "wh", "slot").join(known, "wh").select("of", "slot", "c", "cost", F.lit(None).cast("long").alias("code"))
-    told = told.union(openings.join(costs, "code").select(F.col("chunk").alias("of"), F.lit(None).cast("int"), F.lit(None).cast("long"), "cost", "code"))
-    whole = chunks.where("ids is not null").select("chunk", "ids", "held", "sizes", "slots", "edges")
-    summed = _summed(order, n_train, train_tokens, distinct)
+    asked = chunks.where("code is not null").select("chunk", "code", "n")
+    counts = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "codes")
+    costs = symbol_costs(counts, order)
+    told = words.select(F.col("chunk").alias("of"), "wh", "slot").join(stats, "wh").select("of", "slot", "c", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("long").alias("code"))
+    shared = None
+    if counts.count() * 16 <= broadcast_bytes:
+        got = costs.toArrow().sort_by("code")
+        shared = docs.sparkSession.sparkContext.broadcast((got["code"].to_numpy().view(np.uint64), got["cost"].to_numpy()))
+    else:
+        costs = materialize(costs, "costs")
+        told = told.union(asked.join(costs, "code").select(F.col("chunk").alias("of"), F.lit(None).cast("int"), F.lit(None).cast("long"), "cost", "code"))
+    whole = chunks.where("ids is not null").select("chunk", "ids", "held", "sizes", "slots", "words")
+    summed = _summed(order, n_train, train_tokens, distinct, shared)
     return whole.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
