@@ -81,20 +81,34 @@ def _pairs(edges: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([before[: edges.size] | (edges & _HEAD), ends])
 
 
-def pair_codes(pairs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the symbols that depend on the word before, and the pair of each. A code holds order + 1 bytes, the symbol lowest."""
-    reach = order - 1
-    byte = [(pairs >> np.uint64(32 + 8 * k)) & np.uint64(255) for k in range(reach - 1, -1, -1)]
-    byte += [np.full(pairs.size, BLANK, np.uint64), *((pairs >> np.uint64(24 - 8 * k)) & np.uint64(255) for k in range(reach))]
-    codes, rows, alive = [], [], np.ones(pairs.size, dtype=bool)
+def pair_codes(pairs: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the first symbols, which depend on the word before, the codes and the pair of each. A code holds order + 1 bytes, the symbol lowest."""
+    reach, alive = order - 1, np.ones(pairs.size, dtype=bool)
+
+    def byte(at: int) -> np.ndarray | np.uint64:
+        """Of last bytes, blank and first symbols."""
+        if at == reach:
+            return np.uint64(BLANK)
+        shift = 32 + 8 * (reach - 1 - at) if at < reach else 24 - 8 * (at - reach - 1)
+        return (pairs >> np.uint64(shift)) & np.uint64(255)
+
     for k in range(reach):
         code = np.zeros(pairs.size, dtype=np.uint64)
-        for x in byte[k : k + order + 1]:
-            code = (code << np.uint64(8)) | x
-        rows.append(np.flatnonzero(alive))
-        codes.append(code[alive])
-        alive = alive & (byte[order + k] != BLANK) & (byte[order + k] != END)
-    return np.concatenate(codes), np.concatenate(rows)
+        for at in range(k, k + order + 1):
+            code = (code << np.uint64(8)) | byte(at)
+        yield code[alive], np.flatnonzero(alive)
+        last = byte(k + order)
+        alive &= (last != BLANK) & (last != END)
+
+
+def _tally(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their summed weights, part by part."""
+    got = []
+    for code, weight in parts:
+        code, at = np.unique(code, return_inverse=True)
+        got.append((code, np.bincount(at, weight, minlength=code.size)))
+    code, at = np.unique(np.concatenate([c for c, _ in got]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([w for _, w in got]), minlength=code.size).astype(np.int64)
 
 
 def _chunked(order: int):
@@ -110,10 +124,12 @@ def _chunked(order: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, outs, sizes, hashes, edges, words = (list(x) for x in zip(*held, strict=True))
+            held.clear()
             outs, sizes = np.concatenate(outs), np.concatenate(sizes)
             starts = np.concatenate([[0], np.cumsum([x.size for x in hashes])])
-            uniq, at, slot = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            edges = np.concatenate(edges)
+            hashes = np.concatenate(hashes)
+            uniq, at, slot = np.unique(hashes, return_index=True, return_inverse=True)
+            del hashes
             train = np.repeat(~outs, sizes)
             n = np.bincount(slot[train], minlength=uniq.size)
             press = zstandard.ZstdCompressor(level=1)
@@ -121,33 +137,45 @@ def _chunked(order: int):
             seen = np.sort(at)
             for k, (data, s, e) in enumerate(words):
                 own = seen[np.searchsorted(seen, starts[k]) : np.searchsorted(seen, starts[k + 1])] - starts[k]
-                picked.append(_gather(data, s[own], e[own]))
+                picked.append(_gather(data, s[own].astype(np.int64), e[own].astype(np.int64)))
+            del words
             text = pa.concat_arrays(picked).take(pa.array(np.argsort(np.argsort(at))))  # from the order of first places to that of slots
+            del picked, seen, at
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
             lists = {"ids": pa.ListArray.from_arrays(pa.array([0, sizes.size], pa.int32()), pa.concat_arrays(ids)), "held": one(outs, pa.bool_()), "sizes": one(sizes, pa.int64())}
             blobs = {"slots": press.compress(slot.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()), "words": press.compress(_pack(text))}
+            del slot
             yield rows(1, **lists, **{k: pa.array([v], pa.binary()) for k, v in blobs.items()})
-            pair, index = np.unique(_pairs(edges, sizes), return_inverse=True)
-            weight = np.bincount(index, np.concatenate([train, ~outs]), minlength=pair.size)
-            codes, own = pair_codes(pair, order)
-            inner, of = word_codes(text, order)
-            code, index = np.unique(np.concatenate([codes, inner]), return_inverse=True)
-            weight = np.bincount(index, np.concatenate([weight[own], n[of]]), minlength=code.size).astype(np.int64)
-            for low in range(0, code.size, 50_000):
-                yield rows(code[low : low + 50_000].size, code=pa.array(code[low : low + 50_000].view(np.int64)), n=pa.array(weight[low : low + 50_000]))
+            del blobs
             for low in range(0, uniq.size, 50_000):
                 some = uniq[low : low + 50_000]
                 yield rows(some.size, wh=pa.array(some.view(np.int64)), slot=pa.array(np.arange(low, low + some.size, dtype=np.int32)), n=pa.array(n[low : low + 50_000].astype(np.int64)))
+            del uniq
+            pair, index = np.unique(_pairs(np.concatenate(edges), sizes), return_inverse=True)
+            del edges
+            weight = np.bincount(index, np.concatenate([train, ~outs]), minlength=pair.size)
+            del index, train
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for code, own in pair_codes(pair, order):
+                    yield code, weight[own]
+                for low in range(0, len(text), 100_000):
+                    code, own = word_codes(text.slice(low, 100_000), order)
+                    yield code, n[low + own]
+
+            code, weight = _tally(parts())
+            for low in range(0, code.size, 50_000):
+                yield rows(code[low : low + 50_000].size, code=pa.array(code[low : low + 50_000].view(np.int64)), n=pa.array(weight[low : low + 50_000]))
 
         for batch in batches:
             outs = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j, data, offs in text_slices(batch.column(2)):
                 starts, ends, first = word_spans(data, offs)
-                held.append((batch.column(0).slice(i, j - i), outs[i:j], np.diff(first), word_hashes(data, starts, ends), _edges(data, starts, ends), (data.copy(), starts, ends)))
+                held.append((batch.column(0).slice(i, j - i), outs[i:j], np.diff(first), word_hashes(data, starts, ends), _edges(data, starts, ends), (data.copy(), starts.astype(np.int32), ends.astype(np.int32))))
                 size += data.size
                 if size >= CHUNK_BYTES:
                     yield from flush()
-                    held, size, seq = [], 0, seq + 1
+                    size, seq = 0, seq + 1
         if held:
             yield from flush()
 
@@ -260,13 +288,17 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int, shared):
         slot = np.ascontiguousarray(np.frombuffer(press.decompress(packed[0].as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         text = _unpack(press.decompress(words[0].as_buffer()), c.size)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        inner, of = word_codes(text, order)
-        cost = np.bincount(of, costs[np.searchsorted(codes, inner)], minlength=c.size)
+        cost = np.zeros(c.size)
+        for low in range(0, c.size, 100_000):
+            inner, of = word_codes(text.slice(low, 100_000), order)
+            cost[low : low + 100_000] = np.bincount(of, costs[np.searchsorted(codes, inner)], minlength=min(100_000, c.size - low))
         offs = np.frombuffer(text.buffers()[1], np.int64, count=c.size + 1)
         edges = _edges(np.frombuffer(text.buffers()[2], np.uint8), offs[:-1], offs[1:])
         pair, index = np.unique(_pairs(edges[slot], sizes), return_inverse=True)
-        code, own = pair_codes(pair, order)
-        opening = np.bincount(own, costs[np.searchsorted(codes, code)], minlength=pair.size)[index]
+        opening = np.zeros(pair.size)
+        for code, own in pair_codes(pair, order):
+            opening[own] += costs[np.searchsorted(codes, code)]
+        opening = opening[index]
 
         def total(x: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(x)])
