@@ -28,7 +28,7 @@ from orrery.llm.common import _LOWER, held_out, materialize, table, text_slices,
 
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Symbol costs are sent to all executors up to this size, of 16 bytes for each; beyond it chunks get those they ask for.
 BROADCAST_BYTES = 64 << 20
 #: The blank that ends a word and stands before it, and the end of a text.
@@ -175,6 +175,7 @@ def _chunked(order: int):
                 size += data.size
                 if size >= CHUNK_BYTES:
                     yield from flush()
+                    pa.default_memory_pool().release_unused()
                     size, seq = 0, seq + 1
         if held:
             yield from flush()
@@ -184,6 +185,7 @@ def _chunked(order: int):
 
 _KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "words": pa.binary(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
 
+
 def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The codes of the symbols of words, the blank after them included, that don't depend on the word before, and the word of each."""
     words = words.cast(pa.large_binary())
