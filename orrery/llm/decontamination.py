@@ -134,7 +134,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
     """One index for each bounded shard of the benchmark."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     for k in range(shards):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).orderBy("i", "t").collect()
@@ -151,8 +151,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, score, question_overlap, answer_overlap): rows of docs that hold a benchmark item.
 
     score is the best window's BM25 over the item's own. Words are runs of ASCII letters and digits and of other
-    characters, A-Z lower-cased. Null and empty texts on either side match nothing. Repeated rows are each reported;
-    rows with a null id are reported with a null. Empty tables give no rows; other columns are ignored.
+    characters, A-Z lower-cased. Null and empty texts on either side match nothing. Repeated rows of docs are each
+    reported, repeated items once; rows with a null id are reported with a null. Empty tables give no rows; other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark, out = docs.sparkSession, None

@@ -180,7 +180,7 @@ def test_wand_is_exact():
 
 
 def test_leak_cases(spark, cases, empty):
-    bench = spark.createDataFrame([(1, "a b c d e f g h."), (2, None), (3, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h."), (1, "a b c d e f g h."), (2, None), (3, "")], "item_id long, text string")
     assert [r.doc_id for r in decontamination.find_leaks(cases, bench).collect()] == [9, 9]
     assert decontamination.find_leaks(empty, bench).count() == 0 and decontamination.find_leaks(cases, bench.limit(0)).count() == 0
     assert decontamination.remove_leaks(cases, bench).count() == len(CASES) - 2
