@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts up to ORDER, trained on the training texts as lower-cased words with a blank
 after each. A context reaches over the blank before a word into the word before it, no further. An unseen symbol
-escapes to the next shorter context with probability q / (T + q), q being the distinct symbols seen there and T
-their occurrences; symbols that the longer context had are excluded below. A blank ends a word, a line end the text.
+escapes to the next shorter context with probability q / 2T, q being the distinct symbols seen there and T their
+occurrences; a symbol seen n times has (2n - 1) / 2T. Symbols that the longer context had are excluded below. A blank ends a word, a line end the text.
 
 Only a word's first ORDER - 1 symbols depend on the word before. So a text's code length is a sum over its words of
 what each costs from there on, and over its pairs of a word's last and the next one's first bytes. Chunks of texts
@@ -246,8 +246,8 @@ def _costs(order: int, pairs: np.ndarray):
             here = ~found & (ctx[c] == mine >> np.uint64(8))
             hit = here & (g[s] == mine)
             new = distinct[c] - q_above
-            whole = np.maximum(total[c] - e_above + new, 1).astype(np.float64)
-            cost += np.where(hit, np.log10(times[s] / whole), np.where(here & (new > 0), np.log10(np.maximum(new, 1) / whole), 0.0))
+            whole = 2.0 * np.maximum(total[c] - e_above, 1)
+            cost += np.where(hit, np.log10((2 * times[s] - 1) / whole), np.where(here & (new > 0), np.log10(np.maximum(new, 1) / whole), 0.0))
             found |= hit
             q_above, e_above = np.where(here, distinct[c], q_above), np.where(here, excluded[c], e_above)
         cost -= np.where(found, 0.0, np.log10(np.maximum(256 - q_above, 1)))

@@ -276,8 +276,8 @@ def brute_ppm(texts, order):
             if m:
                 total, q = sum(m.values()), len(m)
                 if s in m:
-                    return out + math.log10(m[s] / (total + q))
-                out += math.log10(q / (total + q))
+                    return out + math.log10((m[s] - 0.5) / total)
+                out += math.log10(q / 2 / total)
                 gone |= set(m)
         return out - math.log10(256 - len(gone))
 
