@@ -27,6 +27,8 @@ MAGIC = 0x184D2A5D
 #: Payload bytes of one archive, of what a dictionary is built from, and of the dictionary; shortest payload that is revisited.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES, REVISIT_BYTES = 32 << 20, 1 << 20, 64 << 10, 1000
 LEVEL = 3
+#: Tasks that read archives at most; with more archives each task reads several, one after another.
+READ_TASKS = 20_000
 BROADCAST_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -155,7 +157,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         rows, size = [], 0
                 yield _batch(rows, columns)
 
-    return manifest.repartition("path").select("folder", "path").mapInArrow(run, schema)
+    # A stated number, as the manifest's rows are so small that adaptive execution would put all of them into one task.
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.repartition(tasks, "path").select("folder", "path").mapInArrow(run, schema)
 
 
 def _batch(rows: list[dict], columns: list[str]) -> pa.RecordBatch:
