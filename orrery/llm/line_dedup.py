@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, size_checked, table
+from orrery.llm.common import materialize, table
 
 #: Units with fewer words stay wherever they are: short ones recur by chance in clean texts.
 MIN_WORDS = 6
 UNITS = {"sentence": r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", "line": r"[^\n]*\n+|[^\n]+", "paragraph": r"(?s:.+?)(?:\n[ \t]*\n\s*|\Z)"}
-BROADCAST_BYTES = 8 << 20
 _SCHEMA = "doc_id long, n_units long, n_chars long, starts array<int>, ends array<int>, again array<boolean>, d1 array<long>, d2 array<long>"
 
 
@@ -68,7 +67,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = cut.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("starts", "ends", "again", "d1", "d2")).alias("u")).select("doc_id", "u.*")
     first = each.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other")
     first = materialize(first.select("d1", "d2", "keeper"), "keepers")
-    gone = each.join(size_checked(first, first.count(), 64, BROADCAST_BYTES), ["d1", "d2"], "left").where("again or doc_id <> keeper")
+    # Adaptive execution broadcasts the keepers under Spark's own limit, and splits the partitions of frequent units.
+    gone = each.join(first, ["d1", "d2"], "left").where("again or doc_id <> keeper")
     spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.col("starts").alias("start"), F.col("ends").alias("end")))).alias("removed"))
     out = cut.select("doc_id", "n_units", "n_chars").join(spans, "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
