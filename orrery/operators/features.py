@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.vectors import as_vector, cosine_distance
+
 
 def training_input(results: DataFrame, events: DataFrame) -> DataFrame:
     """Exploded results (session_id, position, id, rank) with clicked (0/1) and importance (1.0 unless an event says otherwise)."""
@@ -136,3 +138,30 @@ def top_parameters(runs: DataFrame, metric: str, n: int, is_loss: bool) -> DataF
 
 def parameters_id(params: dict[str, Column]) -> Column:
     return F.sha2(F.concat_ws(";", *[F.concat_ws("=", F.lit(k), params[k].cast("string")) for k in sorted(params)]), 256)
+
+
+def item_ranks(queries: DataFrame, items: DataFrame, how: str = "max") -> DataFrame:
+    """(session_id, group_id, rank): cosine similarity of each part (session_id, group_id, vector) to its session's query
+    (session_id, vector, one row each), over the group by max, mean or min."""
+    q = queries.select("session_id", as_vector("vector").alias("_q"))
+    near = items.join(q, "session_id").select("session_id", "group_id", (1 - cosine_distance(as_vector("vector"), F.col("_q"))).alias("_s"))
+    return near.groupBy("session_id", "group_id").agg({"max": F.max, "mean": F.avg, "min": F.min}[how]("_s").alias("rank"))
+
+
+def files_to_load(*inputs: DataFrame) -> DataFrame:
+    """The distinct ids that any of the inputs needs."""
+    out = inputs[0].select("id")
+    for more in inputs[1:]:
+        out = out.union(more.select("id"))
+    return out.distinct()
+
+
+def validation_means(rows: DataFrame, value: str) -> DataFrame:
+    return rows.groupBy("metric").agg(F.avg(value).alias("mean"))
+
+
+def best_quality(runs: DataFrame, metric: str, is_loss: bool) -> DataFrame:
+    """(experiment, params_id, quality) of each experiment's best finished run; ties fall to the smallest params_id."""
+    best = F.struct((F.col(metric) if is_loss else -F.col(metric)).alias("v"), F.col("params_id").alias("k"), F.col(metric).alias("q"))
+    got = runs.where(F.col("status") == "FINISHED").where(F.col(metric).isNotNull()).groupBy("experiment").agg(F.min(best).alias("b"))
+    return got.select("experiment", F.col("b.k").alias("params_id"), F.col("b.q").alias("quality"))

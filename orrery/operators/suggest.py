@@ -100,6 +100,29 @@ def suggest(docs: DataFrame, phrase: str, k: int = 10, domain: str | None = None
     return diverse(both, order).orderBy(*order).limit(k).select("phrase", "prob", "tier", "labels")
 
 
+def match_position(chunks: Column, word: str) -> Column:
+    """Where word stands among chunks, from 0: the first equal one, else the first that starts with it, else the last."""
+    exact = F.array_position(chunks, word)
+    start = F.array_position(F.transform(chunks, lambda c: c.startswith(word)), True)
+    place = F.when(exact > 0, exact).when(start > 0, start).otherwise(F.size(chunks))
+    return (place - 1).cast("int")
+
+
+def aligned(chunks: Column, position: Column) -> list[Column]:
+    """prefix, match and postfix of a suggestion around the matched chunk, each glued to text."""
+    before = F.slice(chunks, F.lit(1), position)
+    after = F.slice(chunks, position + 2, F.size(chunks))
+    return [T.glue(before).alias("prefix"), F.get(chunks, position).alias("match"), T.glue(after).alias("postfix")]
+
+
+def by_phrase_id(docs: DataFrame, phrase_id: str) -> DataFrame:
+    return docs.where(F.col("phrase_id") == phrase_id)
+
+
+def by_phrase(docs: DataFrame, phrase: str) -> DataFrame:
+    return docs.where(F.col("phrase") == phrase)
+
+
 def ranked_match(docs: DataFrame, word: str) -> DataFrame:
     """Match quality of a first chunk: 3 exact, 2 prefix, 1 near, per (first chunk, labels) the most probable phrase."""
     c = F.element_at("chunks", 1)

@@ -22,6 +22,15 @@ def update_tasks(tasks: DataFrame, changes: DataFrame, now: Column, key: str = "
     return out.select(*cols)
 
 
+def remove_tasks(tasks: DataFrame, gone: DataFrame, key: str = "task_id") -> DataFrame:
+    return tasks.join(gone.select(key), key, "left_anti")
+
+
+def by_value(tasks: DataFrame, column: str, value, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the tasks of a model, a destination model or any other column's value."""
+    return tasks.where(F.col(column) == value).orderBy("created_at", "task_id").offset(offset).limit(limit)
+
+
 def by_status(tasks: DataFrame, status: str, limit: int = 100, offset: int = 0) -> DataFrame:
     if status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")
@@ -66,7 +75,8 @@ def over_budget(failed: Column, total: Column, budget: int | float) -> Column:
 
 
 def merge_subtasks(subtasks: DataFrame) -> DataFrame:
-    return subtasks.groupBy("parent_id").pivot("status", list(STATUSES)).agg(F.count("*")).na.fill(0)
+    """One row per parent_id with a count of each status."""
+    return subtasks.groupBy("parent_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
 
 
 def error_detail(col: Column) -> Column:

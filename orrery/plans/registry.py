@@ -485,3 +485,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from orrery.plans import records  # noqa: E402, F401  registers its queries here

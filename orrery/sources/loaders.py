@@ -37,6 +37,14 @@ def by_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
     return df.where(F.col(key).isin(ids))
 
 
+def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
+    return df.orderBy(key).offset(offset).limit(limit)
+
+
+def count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"))
+
+
 def text_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The id as text and columns without nulls."""
     return df.select(F.col(key).cast("string").alias("item_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])

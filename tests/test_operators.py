@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 from orrery.functions import vectors as V
-from orrery.operators import ann, augment, clickstream, collections, filters, improve, search, splitters, suggest, tasks
+from orrery.operators import ann, augment, clickstream, collections, features, filters, improve, search, splitters, suggest, tasks
+from orrery.sources import loaders
 from orrery.streaming import clickstream as streaming
 
 
@@ -135,3 +136,31 @@ def test_tasks(spark):
     locks = spark.createDataFrame([("m1", "m2")], "src string, dst string")
     req = spark.createDataFrame([("t1", "m2", "m3", 1), ("t2", "m4", "m5", 2), ("t3", "m6", "m7", 3)], "task_id string, src string, dst string, created_at int")
     assert [r.task_id for r in tasks.admissible(req, locks, 2).collect()] == ["t2"]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("one\ntwo")
+    assert [r.item for r in loaders.text_files(spark, str(tmp_path / "a")).collect()] == ["one\ntwo"]
+    assert [bytes(r.item) for r in loaders.binary_files(spark, str(tmp_path / "a"), "*.txt").collect()] == [b"one\ntwo"]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "x.json").write_text('{"rows": [{"a": 1, "b": "x"}, {"a": 2, "b": null}]}')
+    got = loaders.json_files(spark, str(tmp_path / "j"), list_field="rows", fields=["a", "b"]).orderBy("item_id").collect()
+    assert [(r.item_id.rsplit(":", 1)[1], r.a, r.b) for r in got] == [("0", 1, "x"), ("1", 2, None)]
+    assert loaders.count(loaders.page(spark.range(10), "id", 5, 7)).first().n == 3
+
+
+def test_suggestion_alignment(spark):
+    df = spark.createDataFrame([(["red", "steel", "bolt"],)], "chunks array<string>")
+    at = suggest.match_position(F.col("chunks"), "ste")
+    assert tuple(df.select(*suggest.aligned(F.col("chunks"), at)).first()) == ("red", "steel", "bolt")
+    assert df.select(suggest.match_position(F.col("chunks"), "zinc")).first()[0] == 2
+
+
+def test_training_helpers(spark):
+    runs = spark.createDataFrame([("e", 1, 0.5, "FINISHED"), ("e", 2, 0.5, "FINISHED"), ("e", 3, 0.1, "FAILED"), ("f", 4, None, "FINISHED")], "experiment string, params_id int, q double, status string")
+    assert [tuple(r) for r in features.best_quality(runs, "q", False).collect()] == [("e", 1, 0.5)]
+    ids = spark.range(3)
+    assert features.files_to_load(ids, ids, spark.range(5)).count() == 5
+    old = spark.createDataFrame([("a", "pending", 1, "m")], "task_id string, status string, created_at int, model string")
+    assert tasks.by_value(old, "model", "m").count() == 1 and tasks.remove_tasks(old, old).count() == 0
