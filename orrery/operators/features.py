@@ -165,3 +165,13 @@ def best_quality(runs: DataFrame, metric: str, is_loss: bool) -> DataFrame:
     best = F.struct((F.col(metric) if is_loss else -F.col(metric)).alias("v"), F.col("params_id").alias("k"), F.col(metric).alias("q"))
     got = runs.where(F.col("status") == "FINISHED").where(F.col(metric).isNotNull()).groupBy("experiment").agg(F.min(best).alias("b"))
     return got.select("experiment", F.col("b.k").alias("params_id"), F.col("b.q").alias("quality"))
+
+
+def borrow_positives(rows: DataFrame, lenders: DataFrame) -> DataFrame:
+    """Pairs (session_id, k, positive, negative) for sessions without a click: positives come from the session that
+    lenders (session_id, lender_id) names, in order of position; the longer side is cut to the shorter."""
+    order = Window.partitionBy("session_id").orderBy("position", "id")
+    pos = rows.where("clicked = 1").select(F.col("session_id").alias("lender_id"), F.col("id").alias("positive"), (F.row_number().over(order) - 1).alias("k"))
+    idle = irrelevant_sessions(rows).where("is_irrelevant").select("session_id").join(lenders, "session_id")
+    neg = rows.where("clicked = 0").select("session_id", F.col("id").alias("negative"), (F.row_number().over(order) - 1).alias("k"))
+    return idle.join(neg, "session_id").join(pos, ["lender_id", "k"]).select("session_id", "k", "positive", "negative")

@@ -164,3 +164,9 @@ def test_training_helpers(spark):
     assert features.files_to_load(ids, ids, spark.range(5)).count() == 5
     old = spark.createDataFrame([("a", "pending", 1, "m")], "task_id string, status string, created_at int, model string")
     assert tasks.by_value(old, "model", "m").count() == 1 and tasks.remove_tasks(old, old).count() == 0
+
+
+def test_borrowed_positives(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 0), ("a", 2, 2, 0), ("a", 3, 3, 0), ("b", 1, 4, 1), ("b", 2, 5, 0), ("b", 3, 6, 1)], "session_id string, position int, id int, clicked int")
+    lenders = spark.createDataFrame([("a", "b"), ("b", "a")], "session_id string, lender_id string")
+    assert sorted(map(tuple, features.borrow_positives(rows, lenders).collect())) == [("a", 0, 4, 1), ("a", 1, 6, 2)]
