@@ -346,6 +346,18 @@ def test_line_cases(spark, cases, empty):
     assert [tuple(s) for s in out[1].removed_spans] == [(39, 72)] and out[1].text == texts[1][1][:39]
 
 
+def test_line_passages(spark, cases, empty):
+    got = {r.doc_id: r for r in line_dedup.repeated_passages(cases).collect()}
+    assert line_dedup.repeated_passages(cases).count() == len(CASES) and got[None].n_removed == 0 and got[4].n_removed == 0 and got[5].kept_chars == 0
+    assert got[6].kept_chars == 0 and line_dedup.repeated_passages(empty).count() == 0
+    line = "Uno due tre. Quattro. Cinque sei sette."  # no piece has six words
+    texts = [(1, f"Yes.\n{line}\nIt ended.\n"), (2, f"Menu\nyes.\nHere it is: no. {line} New words.\n"), (3, "Menu\n.menu\nIs it? Yes.\n"), (4, "It ended.\n.menu\nOther.")]
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(rows(spark, texts)).collect()}
+    assert out[1] == texts[0][1]  # first occurrences stay
+    assert out[2] == "Menu\nHere it is: no. New words.\n"  # a short line, and a run of short pieces in a long line
+    assert out[3] == ".menu\nIs it? Yes.\n" and out[4] == "Other."  # one short piece of a line stays
+
+
 def test_warc_round_trip(spark):
     body = "x" * 1200
     pages = [(1, "http://a/1", body), (2, None, body), (3, "u r l\n", body), (4, "d", "short"), (5, "d", "short"), (6, "e", None), (None, "f", body), (7, "g", "é" * 700)]
