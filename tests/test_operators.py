@@ -65,6 +65,22 @@ def test_ann_recall(spark):
     assert hits >= 90
 
 
+def test_ann_recall_of_defaults(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("part_id"), F.col("embedding").alias("vector")).cache()
+    rows = sorted((r.part_id, r.vector) for r in e.collect())
+    x = np.array([v for _, v in rows], dtype=float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = ann.train_centroids(e)
+    assigned = ann.assign(e, centres).cache()
+    shares = []
+    for i in range(len(rows)):
+        if rows[i][0] % 20 == 0:
+            true = {rows[j][0] for j in np.argsort(-unit @ unit[i], kind="stable")[:10]}
+            shares.append(len(true & {r.part_id for r in ann.search(assigned, centres, x[i].tolist(), 10).collect()}) / 10)
+    print(f"recall@10 of the defaults: {np.mean(shares):.3f} on average, {min(shares)} at worst, {len(shares)} queries")
+    assert len(centres) == 32 and len(shares) == 100 and np.mean(shares) >= 0.9
+
+
 def test_suggest_matches_sequential_walk(spark):
     rows = [("red bolt", 0.9, ["a"], ["d"]), ("red nut", 0.8, ["a"], ["d"]), ("red ring", 0.7, ["b", "a"], ["d"]), ("rad ring", 0.6, ["c"], []), ("none", 0.5, [], [])]
     docs = suggest.phrase_documents(spark.createDataFrame(rows, "phrase string, prob double, labels array<string>, domains array<string>"))
