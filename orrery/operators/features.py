@@ -89,10 +89,26 @@ def paired_inputs(rows: DataFrame) -> DataFrame:
     return slots.join(pos.select("session_id", "pr", "positive"), ["session_id", "pr"]).join(neg.select("session_id", "nr", "negative"), ["session_id", "nr"]).select("session_id", "k", "positive", "negative")
 
 
-def train_test_split(rows: DataFrame, test_share: float = 0.2, seed: str = "t", overlap: float = 0.5) -> DataFrame:
-    """Ids go to test by the md5 of seed and id; a session is test when more than overlap of its results are."""
+def train_test_split(rows: DataFrame, test_share: float = 0.2, seed: str = "t", overlap: float = 0.5, top_up: bool = True) -> DataFrame:
+    """Ids go to test by the md5 of seed and id; a session is test when more than overlap of its results are.
+
+    Where fewer than int(test_share * sessions) are, top_up adds the train sessions with the smallest md5 of seed and
+    session. They are ranked by ranges of the md5, so no task holds all sessions."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.groupBy("session_id").agg(F.avg((h < test_share).cast("double")).alias("share")).select("session_id", "share", F.when(F.col("share") > overlap, "test").otherwise("train").alias("split"))
+    split = F.when(F.col("share") > overlap, "test").otherwise("train")
+    got = rows.groupBy("session_id").agg(F.avg((h < test_share).cast("double")).alias("share")).select("session_id", "share", split.alias("split"))
+    if not top_up:
+        return got
+    key = F.md5(F.concat(F.lit(f"{seed}:top-up:"), F.coalesce(F.col("session_id").cast("string"), F.lit(""))))
+    got = got.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
+    ranges = got.groupBy("_range").agg(F.count("*").alias("n"), F.count(F.when(F.col("split") == "train", 1)).alias("train"))
+    every = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("train").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.floor(F.lit(test_share) * F.sum("n").over(every)) - F.sum(F.col("n") - F.col("train")).over(every)
+    ranges = ranges.select("_range", (wanted - before).alias("_wanted"))  # 4,096 rows at most
+    place = F.row_number().over(Window.partitionBy("_range", "split").orderBy("_key", "session_id"))
+    out = got.withColumn("_place", place).join(F.broadcast(ranges), "_range")
+    return out.select("session_id", "share", F.when(F.col("_place") <= F.col("_wanted"), "test").otherwise(F.col("split")).alias("split"))
 
 
 def margin_loss(df: DataFrame, margin: float = 1.0) -> DataFrame:

@@ -309,7 +309,16 @@ def negative_downsample(spark, sf_dir):
 SELECT session_id, CASE WHEN avg(test::INT) > 0.5 THEN 'test' ELSE 'train' END AS split FROM h GROUP BY 1""")
 def split_train_test(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("id"))
-    return features.train_test_split(rows, 0.4).select("session_id", "split")
+    return features.train_test_split(rows, 0.4, top_up=False).select("session_id", "split")
+
+
+@query("""WITH h AS (SELECT l_orderkey AS session_id, (('0x' || substr(md5('t' || l_partkey), 1, 8))::BIGINT / 4294967296.0) < 0.2 AS test FROM lineitem),
+s AS (SELECT session_id, avg(test::INT) > 0.5 AS test FROM h GROUP BY 1),
+r AS (SELECT session_id, test, row_number() OVER (PARTITION BY test ORDER BY md5('t:top-up:' || session_id), session_id) AS place FROM s)
+SELECT session_id, CASE WHEN test OR place <= (SELECT floor(0.2 * count(*)) - count(*) FILTER (test) FROM s) THEN 'test' ELSE 'train' END AS split FROM r""")
+def split_train_test_topped_up(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("id"))
+    return features.train_test_split(rows).select("session_id", "split")
 
 
 @query(f"""WITH {_R}, n AS (SELECT session_id, position AS id, clicked, row_number() OVER (PARTITION BY session_id, clicked ORDER BY position) - 1 AS i, count(*) OVER (PARTITION BY session_id, clicked) AS n FROM r),

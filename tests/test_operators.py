@@ -186,3 +186,16 @@ def test_borrowed_positives(spark):
     rows = spark.createDataFrame([("a", 1, 1, 0), ("a", 2, 2, 0), ("a", 3, 3, 0), ("b", 1, 4, 1), ("b", 2, 5, 0), ("b", 3, 6, 1)], "session_id string, position int, id int, clicked int")
     lenders = spark.createDataFrame([("a", "b"), ("b", "a")], "session_id string, lender_id string")
     assert sorted(map(tuple, features.borrow_positives(rows, lenders).collect())) == [("a", 0, 4, 1), ("a", 1, 6, 2)]
+
+
+def test_split_top_up(spark):
+    # sessions of 20 results each: by overlap alone none is test
+    rows = spark.range(2000).select((F.col("id") % 100).alias("session_id"), "id")
+    got = {r.session_id: r.split for r in features.train_test_split(rows).collect()}
+    assert len(got) == 100 and sum(x == "test" for x in got.values()) == 20
+    assert got == {r.session_id: r.split for r in features.train_test_split(rows.repartition(7)).collect()}
+    short = spark.range(300).select(F.col("id").alias("session_id"), F.col("id"))  # one result each, enough of them test
+    whole, bare = (sorted((r.session_id, r.split) for r in features.train_test_split(short, 0.2, s, top_up=u).collect()) for s, u in (("t", True), ("t", False)))
+    n = sum(x == "test" for _, x in bare)
+    assert sum(x == "test" for _, x in whole) == max(n, 60) and set(x for x in bare if x[1] == "test") <= set(whole)
+    assert features.train_test_split(rows.limit(0)).count() == 0
