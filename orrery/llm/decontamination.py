@@ -1,4 +1,4 @@
-"""Benchmark decontamination: BM25 over benchmark items, block-max WAND, then overlap of question and answer.
+"""Benchmark decontamination: BM25 over benchmark items, block-max WAND, then overlap of question and answer or of the whole item.
 
 Every window of every document is a query of distinct terms against the items. Impacts are scaled by an item's own
 score (that of the item as a query), so one threshold holds for all items. As all items above a fixed threshold are
@@ -44,6 +44,18 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def alignment(item: np.ndarray, text: np.ndarray) -> float:
+    """The share of item's words that need no edit (replaced, left out or put in) to make it a passage of text, at least 0."""
+    steps = np.arange(text.size + 1)
+    row = np.zeros(text.size + 1, dtype=np.int64)
+    for k, word in enumerate(item, 1):
+        cost = np.empty_like(row)
+        cost[0] = k
+        np.minimum(row[:-1] + (text != word), row[1:] + 1, out=cost[1:])
+        row = np.minimum.accumulate(cost - steps) + steps
+    return max(0, item.size - int(row.min())) / item.size
+
+
 def question_answer(text: str) -> tuple[str, str]:
     """An item's question and answer: at an answer mark, else the last sentence is the answer; a single sentence is both."""
     if m := re.search(r"(?:^|\n|\s)(?:answer|a)\s*:\s*", text, re.IGNORECASE):
@@ -66,6 +78,7 @@ class Index:
     term_max: np.ndarray
     stride: int
     parts: list = field(default_factory=list)
+    words: list = field(default_factory=list)
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
@@ -89,11 +102,14 @@ class Index:
         for _, t, _ in items:
             both = [words_of(x) for x in question_answer(t)]
             parts.append([(w := min(WIDTH, h.size), np.unique(shingles(h, w))) for h in both])
-        stride = max([STRIDE, *(h.size for *_, h in items)])
-        return cls(np.array([i for i, *_ in items], dtype=object), terms, impact, block_max, block_max.max(axis=1, initial=0), stride, parts)
+        # Two strides hold an item wherever it starts, with a quarter more words put in.
+        stride = max([STRIDE, *(h.size * 5 // 4 + 1 for *_, h in items)])
+        return cls(np.array([i for i, *_ in items], dtype=object), terms, impact, block_max, block_max.max(axis=1, initial=0), stride, parts, [h for *_, h in items])
+
+    def search(self, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, float]]:
+        """(row, item, score, question's overlap, answer's overlap, item's alignment) for words h of rows that begin at first; the best window of each.
 
-    def search(self, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
-        """(row, item, score, question's overlap, answer's overlap) for words h of rows that begin at first; the best window of each."""
+        An item is there if both parts' shingles are, or if the whole item aligns: shingles of a short part don't survive an edit."""
         if not self.terms.size or not h.size:
             return []
         at = np.minimum(np.searchsorted(self.terms, h), self.terms.size - 1)
@@ -111,7 +127,7 @@ class Index:
             return []
         heads = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
         alive = np.add.reduceat(self.term_max[term], heads) >= threshold - 1e-4
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         stops = np.append(heads[1:], window.size)
         heads, stops = heads[alive], stops[alive]
         for low in range(0, heads.size, 256):
@@ -127,8 +143,12 @@ class Index:
                     start = first[row] + (window[a] - base[row]) * self.stride
                     text = h[start : min(start + 2 * self.stride, first[row + 1])]
                     q, r = (np.isin(s, shingles(text, width)).mean() for width, s in self.parts[item])
-                    if q >= overlap and r >= overlap:
-                        best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (float(scores[j]), float(q), float(r)))
+                    shingled = q >= overlap and r >= overlap
+                    # Words that are missing are edits at least, so few candidates need to be aligned.
+                    if shingled or np.isin(self.words[item], text).mean() >= overlap:
+                        aligned = alignment(self.words[item], text)
+                        if shingled or aligned >= overlap:
+                            best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0, 0.0)), (float(scores[j]), float(q), float(r), aligned))
         return [(row, item, *x) for (row, item), x in sorted(best.items())]
 
 
@@ -148,9 +168,10 @@ def _found(index, threshold: float, overlap: float, column: pa.Array):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap): rows of docs that hold a benchmark item.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, item_overlap): rows of docs that hold a benchmark item.
 
-    score is the best window's BM25 over the item's own. Words are runs of ASCII letters and digits and of other
+    It is held where both parts' shingle overlaps reach overlap, or where item_overlap does: the share of the item's
+    words that need no edit. score is the best window's BM25 over the item's own. Words are runs of ASCII letters and digits and of other
     characters, A-Z lower-cased. Null and empty texts on either side match nothing. Repeated rows of docs are each
     reported, repeated items once; rows with a null id are reported with a null. Empty tables give no rows; other columns are ignored.
     """
@@ -165,9 +186,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     if hits:
                         ids = batch.column(0).take(pa.array([i + x[0] for x in hits]))
                         items = pa.array([shared.value.ids[x[1]] for x in hits], pa.int64())
-                        yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([x[k] for x in hits], pa.float64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([x[k] for x in hits], pa.float64()) for k in (2, 3, 4, 5))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"])
 
-        part = source.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = source.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, item_overlap double")
         out = part if out is None else out.union(part)
     return out
 

@@ -187,6 +187,21 @@ def test_leak_cases(spark, cases, empty):
     assert decontamination.question_answer("What is it? Answer: a cow.") == ("What is it?", "a cow.")
 
 
+def test_near_verbatim_leaks(spark):
+    item = "Which of the grey herons came back to the lake before the ice had gone in the north? Two."
+    words = item.split()
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(len(words))]
+    texts += [" ".join(words[:-1]), " ".join([*words[:5], "more", *words[5:]]), " ".join(words[:3] + words[4:])]
+    clean = [" ".join(sorted(words)), " ".join(words[:9])]  # the same words in another order, and half of the item
+    docs = rows(spark, [(k, f"Before it. {t} After it.") for k, t in enumerate(texts + clean)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(docs, bench).collect()}
+    assert set(got) == set(range(len(texts))) and all(r.item_overlap >= 0.9 for r in got.values())
+    assert {r.doc_id for r in decontamination.remove_leaks(docs, bench).collect()} == {len(texts), len(texts) + 1}
+    a, b = (decontamination.words_of(x) for x in ("one two three four", "zero one three five six"))
+    assert decontamination.alignment(a, b) == 0.5 and decontamination.alignment(b, b) == 1.0
+
+
 # ---------------------------------------------------------------- mixing
 
 
