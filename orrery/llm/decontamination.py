@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, mix64, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import _LOWER, materialize, mix64, table, text_slices, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a window is verified, and shares of its shingles that must be there.
@@ -67,6 +67,17 @@ def question_answer(text: str) -> tuple[str, str]:
     return text, text
 
 
+@dataclass
+class Statistics:
+    """Of a whole benchmark: items with words, their mean length and longest one, and the items that hold each of some sorted terms."""
+
+    n: int
+    mean_length: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     """An inverted index as a matrix of impacts, terms by items, with maxima by block and by term."""
@@ -81,8 +92,8 @@ class Index:
     words: list = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> Index:
-        """Items without words can't be found and are left out."""
+    def build(cls, items: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+        """Items without words can't be found and are left out. Where items are a shard, whole has the statistics of the benchmark."""
         items = [(i, t, h) for i, t in items if (h := words_of(t or "")).size]
         terms = np.unique(np.concatenate([h for *_, h in items])) if items else np.zeros(0, np.uint64)
         n = len(items)
@@ -90,10 +101,12 @@ class Index:
         for j, (*_, h) in enumerate(items):
             t, c = np.unique(h, return_counts=True)
             tf[np.searchsorted(terms, t), j] = c
-        df = (tf > 0).sum(axis=1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         length = tf.sum(axis=0)
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if n else length
+        if whole is None:
+            whole = Statistics(n, float(length.mean()) if n else 0.0, int(length.max(initial=0)), terms, (tf > 0).sum(axis=1))
+        df = whole.df[np.searchsorted(whole.terms, terms)]
+        idf = np.log1p((whole.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = K1 * (1 - B + B * length / max(whole.mean_length, 1e-9))
         impact = idf[:, None] * tf * (K1 + 1) / (tf + norm[None, :])
         impact = (impact / impact.sum(axis=0, keepdims=True)).astype(np.float32)
         blocks = [impact[:, k : k + BLOCK_ITEMS].max(axis=1) for k in range(0, n, BLOCK_ITEMS)]
@@ -103,7 +116,7 @@ class Index:
             both = [words_of(x) for x in question_answer(t)]
             parts.append([(w := min(WIDTH, h.size), np.unique(shingles(h, w))) for h in both])
         # Two strides hold an item wherever it starts, with a quarter more words put in.
-        stride = max([STRIDE, *(h.size * 5 // 4 + 1 for *_, h in items)])
+        stride = max(STRIDE, whole.longest * 5 // 4 + 1)
         return cls(np.array([i for i, *_ in items], dtype=object), terms, impact, block_max, block_max.max(axis=1, initial=0), stride, parts, [h for *_, h in items])
 
     def search(self, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, float]]:
@@ -152,13 +165,33 @@ class Index:
         return [(row, item, *x) for (row, item), x in sorted(best.items())]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        terms = pa.array([np.unique(h).view(np.int64) for h in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, terms, pa.array([h.size for h in words], pa.int64())], names=["i", "t", "terms", "length"])
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
-    """One index for each bounded shard of the benchmark."""
+    """One index for each bounded shard of the benchmark; statistics are those of the whole benchmark in each of them."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     shards = max(1, -(-items.count() // SHARD_ITEMS))
+    if shards == 1:
+        yield Index.build([(r.i, r.t) for r in items.orderBy("i", "t").collect()])
+        return
+    shard = F.pmod(F.xxhash64("i", "t"), F.lit(shards))
+    items = materialize(items.mapInArrow(_terms, "i long, t string, terms array<long>, length long").where("length > 0").withColumn("shard", shard), "items")
+    sums = items.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+    each = items.select("shard", F.explode("terms").alias("term"))
+    # A term's items over all shards, listed once for each shard that has it.
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards"))
+    counts = materialize(counts.select("term", "df", F.explode("shards").alias("shard")), "terms")
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).orderBy("i", "t").collect()
-        yield Index.build([(r.i, r.t) for r in rows])
+        rows = items.where(F.col("shard") == k).select("i", "t").orderBy("i", "t").collect()
+        found = counts.where(F.col("shard") == k).select("term", "df").toArrow()
+        terms = found.column("term").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        yield Index.build([(r.i, r.t) for r in rows], Statistics(sums.n, sums.mean or 0.0, sums.longest or 0, terms[order], found.column("df").to_numpy()[order]))
 
 
 def _found(index, threshold: float, overlap: float, column: pa.Array):

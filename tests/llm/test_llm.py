@@ -202,6 +202,23 @@ def test_near_verbatim_leaks(spark):
     assert decontamination.alignment(a, b) == 0.5 and decontamination.alignment(b, b) == 1.0
 
 
+def test_shards_share_statistics(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(6, 30)) % 500)) for i in range(60)] + [(60, "y " * 150), (61, "?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = rows(spark, [(i, f"{t} and more") for i, t in items[:20]] + [(99, " ".join(items[3][1].split()[:-1]))])
+    whole = {tuple(map(str, r)) for r in decontamination.find_leaks(docs, bench).collect()}
+    one = next(decontamination._indexes(bench, "item_id", "text"))
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 10)
+    shards = list(decontamination._indexes(bench, "item_id", "text"))
+    assert len(shards) == 7 and sum(x.ids.size for x in shards) == 61 and {x.stride for x in shards} == {one.stride}
+    for x in shards:
+        for j, i in enumerate(x.ids.tolist()):
+            want, got = (dict(zip(y.terms.tolist(), y.impact[:, k].tolist(), strict=True)) for y, k in ((one, one.ids.tolist().index(i)), (x, j)))
+            assert all(abs(got[t] - want[t]) < 1e-6 for t in got) and not any(v for t, v in want.items() if t not in got)
+    assert {r.item_id for r in decontamination.find_leaks(docs, bench).collect()} == {int(x[1]) for x in whole} and whole
+
+
 # ---------------------------------------------------------------- mixing
 
 
