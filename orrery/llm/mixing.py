@@ -80,12 +80,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """Every copy of every document, by id, with its source and place; the texts stay where they are."""
+    """Every copy of every document, by id, with its source and place; the texts stay where they are (op2_mix_documents moves them)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return mix_sources(docs).select("doc_id", "source", "n_chars", "mix_copy", "mix_copies", "mix_key")
 
 
-QUERIES = {"op2_mix_sources": op2_mix_sources}
+def op2_mix_documents(spark, sf_dir: str) -> DataFrame:
+    """Every copy of every document with all its columns, the text among them."""
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+QUERIES = {"op2_mix_sources": op2_mix_sources, "op2_mix_documents": op2_mix_documents}
 ORACLE = {
     "op2_mix_sources": f"""
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -100,3 +105,4 @@ SELECT doc_id, source, n_chars, mix_copy, mix_copies::INT AS mix_copies,
        md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy::VARCHAR) AS mix_key FROM e
 """
 }
+ORACLE["op2_mix_documents"] = f"SELECT m.doc_id, d.text, d.lang, m.source, m.n_chars, m.mix_copy, m.mix_copies, m.mix_key FROM ({ORACLE['op2_mix_sources']}) m JOIN documents d ON d.doc_id IS NOT DISTINCT FROM m.doc_id"

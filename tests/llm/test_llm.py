@@ -365,6 +365,14 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_mixed_documents_are_whole(spark, docs):
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    got = registry.queries()["op2_mix_documents"](spark, DIR)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert "text#" in plan and {(r.doc_id, r.text, r.lang) for r in got.collect()} <= {(i, *x) for i, x in texts.items()}
+    assert got.count() == registry.queries()["op2_mix_sources"](spark, DIR).count()
+
+
 # ---------------------------------------------------------------- lines, archives
 
 
