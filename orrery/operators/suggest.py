@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from difflib import get_close_matches
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 
+#: Least difflib ratio of a chunk that counts as a misspelt word.
+CLOSE = 0.8
+
 
 @dataclass(frozen=True)
 class Request:
@@ -100,11 +105,25 @@ def suggest(docs: DataFrame, phrase: str, k: int = 10, domain: str | None = None
     return diverse(both, order).orderBy(*order).limit(k).select("phrase", "prob", "tier", "labels")
 
 
+def _close_position(word: str):
+    def run(chunks: pd.Series) -> pd.Series:
+        found = []
+        for row in chunks:
+            row = [] if row is None else list(row)
+            near = get_close_matches(word, row, n=1, cutoff=CLOSE)
+            found.append(row.index(near[0]) + 1 if near else 0)
+        return pd.Series(found, dtype="int32")
+
+    return F.pandas_udf(run, "int")
+
+
 def match_position(chunks: Column, word: str) -> Column:
-    """Where word stands among chunks, from 0: the first equal one, else the first that starts with it, else the last."""
+    """Where word stands among chunks, from 0: the first equal one, else the first that starts with it, else the closest
+    one by difflib if its ratio is CLOSE or more, else the last."""
     exact = F.array_position(chunks, word)
     start = F.array_position(F.transform(chunks, lambda c: c.startswith(word)), True)
-    place = F.when(exact > 0, exact).when(start > 0, start).otherwise(F.size(chunks))
+    close = _close_position(word)(F.when((exact == 0) & (start == 0), chunks))
+    place = F.when(exact > 0, exact).when(start > 0, start).when(close > 0, close).otherwise(F.size(chunks))
     return (place - 1).cast("int")
 
 

@@ -199,3 +199,11 @@ def test_split_top_up(spark):
     n = sum(x == "test" for _, x in bare)
     assert sum(x == "test" for _, x in whole) == max(n, 60) and set(x for x in bare if x[1] == "test") <= set(whole)
     assert features.train_test_split(rows.limit(0)).count() == 0
+
+
+def test_suggestion_close_match(spark):
+    df = spark.createDataFrame([(["red", "steel", "bolt", "set"],), (["steal", "steele", "x"],), ([],), (None,)], "chunks array<string>")
+    at = [r[0] for r in df.select(suggest.match_position(F.col("chunks"), "stele")).collect()]
+    assert at[:3] == [1, 1, -1]  # both steal and steele are close, steele is closest
+    assert [r[0] for r in df.limit(1).select(suggest.match_position(F.col("chunks"), "zinc")).collect()] == [3]
+    assert [r[0] for r in df.limit(1).select(suggest.match_position(F.col("chunks"), "st")).collect()] == [1]
