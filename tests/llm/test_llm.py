@@ -233,6 +233,20 @@ def test_mixing(spark, cases, empty):
     assert sorted(map(str, mixing.mix_sources(cases).collect())) == sorted(map(str, mixing.mix_sources(cases.repartition(3)).collect()))
 
 
+def test_mixing_uneven_sources(spark, monkeypatch):
+    """A source a million times smaller than another, and many small ones beside a large one."""
+    rate = spark.range(400).select(mixing.copies(F.lit(1300.0), "s", F.col("id")).alias("n")).agg(F.avg("n"), F.stddev("n")).first()
+    assert abs(rate[0] - 1300) < 4 * 1300**0.5 / 20 and abs(rate[1] - 1300**0.5) < 6
+    big = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "x").otherwise("y").alias("source"))
+    counts = {r.source: r["count"] for r in mixing.mix_sources(big, total=1_001_000).groupBy("source").count().collect()}
+    assert abs(counts["x"] - 1000) < 160 and abs(counts["y"] - 1_000_000) < 5000
+    some = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "y").otherwise(F.concat(F.lit("s"), F.col("id") % 300)).alias("source"))
+    want = sorted(map(str, mixing.mix_sources(some).collect()))
+    for heavy in (3, 100_000):
+        monkeypatch.setattr(mixing, "HEAVY", heavy)
+        assert sorted(map(str, mixing.mix_sources(some).collect())) == want
+
+
 # ---------------------------------------------------------------- language, quality
 
 
@@ -367,10 +381,9 @@ def test_licenses(spark, empty):
 
 def test_mixed_documents_are_whole(spark, docs):
     texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
-    got = registry.queries()["op2_mix_documents"](spark, DIR)
+    got = registry.queries()["op2_mix_sources"](spark, DIR)
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
     assert "text#" in plan and {(r.doc_id, r.text, r.lang) for r in got.collect()} <= {(i, *x) for i, x in texts.items()}
-    assert got.count() == registry.queries()["op2_mix_sources"](spark, DIR).count()
 
 
 # ---------------------------------------------------------------- lines, archives
