@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"orrery-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Hadoop's names of stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path for a folder named as Hadoop names it."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark and uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else uri)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -43,9 +60,88 @@ def held_out(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(key) % modulus == 0, F.lit(True))
 
 
-def size_checked(df: DataFrame, rows: int, row_bytes: int, limit: int) -> DataFrame:
-    """Marks df for broadcast only if its counted rows fit the limit; beyond it the join shuffles."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+# ------------------------------------------------------------------ notes beside rows
+
+#: Rows of a file whose notes are one file; bounds what a task holds of them.
+NOTE_ROWS = 1 << 20
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a file scan under selections and filters alone, so that a file's row is one row of df at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return plan.children().isEmpty()
+
+
+def placed(df: DataFrame, tag: str = "placed") -> DataFrame:
+    """df with file_at and row_at: a place that no two rows share and that every later scan finds again.
+
+    Of Parquet scans these are the file's path, hashed, and the row's number in it; anything else is written first."""
+    if not _plain_scan(df):
+        df = materialize(df, tag)
+    return df.withColumns({"file_at": F.xxhash64("_metadata.file_path"), "row_at": F.col("_metadata.row_index")})
+
+
+def leave_notes(rows: DataFrame, tag: str) -> str:
+    """Writes the notes (file_at, row_at, note long) of rows to the shared folder, whence the task that scans them reads them again.
+
+    So what is found out about a row returns to it without a shuffle or broadcast of the rows, at any size. A task that
+    runs again writes the same bytes under the same name."""
+    folder = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    fs, base = store(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/here") as out:
+        out.write(b"notes")
+
+    def write(some: pa.Table) -> pa.Table:
+        fs, base = store(folder)
+        some = some.sort_by([("row_at", "ascending"), ("note", "ascending")])
+        at, note = (some[x].to_numpy() for x in ("row_at", "note"))
+        name = f"{base}/{some['file_at'][0].as_py()}.{at[0] // NOTE_ROWS}"
+        with fs.open_output_stream(name) as out:
+            out.write(np.concatenate([at, note]).astype(np.int64).tobytes())
+        return pa.table({"n": pa.array([at.size], pa.int64())})
+
+    block = F.expr(f"row_at div {NOTE_ROWS}")
+    rows.select("file_at", "row_at", "note").groupBy("file_at", block.alias("block")).applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def notes_of(folder: str) -> Callable[[Column, Column], Column]:
+    """A function of file_at and row_at: the note that leave_notes left there, null without one."""
+
+    @F.arrow_udf("long")
+    def note(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        fs, base = store(folder)
+        with fs.open_input_stream(f"{base}/here"):  # a folder out of reach is an error, a file that isn't there a block without notes
+            pass
+        held: tuple = (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for files, rows in batches:
+            files, rows = files.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False)
+            out, found = np.zeros(rows.size, np.int64), np.zeros(rows.size, dtype=bool)
+            blocks = rows // NOTE_ROWS
+            cuts = np.flatnonzero(np.concatenate([[True], (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])])) if rows.size else []
+            for a, b in zip(cuts, [*cuts[1:], rows.size], strict=True):
+                key = (int(files[a]), int(blocks[a]))
+                if held[0] != key:
+                    try:
+                        with fs.open_input_stream(f"{base}/{key[0]}.{key[1]}") as stream:
+                            both = np.frombuffer(stream.read(), np.int64)
+                    except FileNotFoundError:
+                        both = np.zeros(0, np.int64)
+                    held = (key, both[: both.size // 2], both[both.size // 2 :])
+                _, at, note = held
+                if at.size:
+                    k = np.minimum(np.searchsorted(at, rows[a:b]), at.size - 1)
+                    found[a:b], out[a:b] = at[k] == rows[a:b], note[k]
+            yield pa.array(out, mask=~found)
+
+    return note
 
 
 # ------------------------------------------------------------------ words

@@ -2,8 +2,10 @@
 
 Each sender (a run of rows of one scan partition) splits its sorted distinct fingerprints by owner, codes the gaps
 and sends them; an owner merges what it received and answers each sender with a bitmap of the fingerprints that
-occur more than once. Only then do suspects travel as text: they are grouped by their bytes, so a fingerprint that
-two texts share by chance joins nothing. Copies combine before the shuffle, so a hot group is one row per task.
+occur more than once. The bits return to the rows as notes beside the files, which the task that scans a row reads.
+Only suspects are normalised again and travel as text: they are grouped by their bytes, so a fingerprint that two
+texts share by chance joins nothing. Copies combine before the shuffle, so a hot group is one row per task. The plan
+is the same at any size, and no text but a suspect's leaves its task.
 """
 
 from __future__ import annotations
@@ -17,13 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, size_checked, table
+from orrery.llm.common import leave_notes, materialize, notes_of, placed, table
 
 #: Bits of a fingerprint: with 3e10 texts one in 10,000 is suspected by chance, which verification settles.
 BITS = 48
 #: Rows of one sender's message set, and fingerprints that an owner merges on average.
 SENDER_ROWS, OWNER_ROWS = 1 << 17, 1 << 21
-BROADCAST_BYTES = 8 << 20
 
 
 def golomb_encode(gaps: np.ndarray) -> tuple[int, bytes]:
@@ -61,12 +62,12 @@ def normalised(text: Column) -> Column:
     return out
 
 
-_SENT = "chunk long, owner long, n long, k int, code binary, local binary, docs array<struct<id: long, slot: int, sha: binary>>"
+_SENT = "chunk long, owner long, n long, k int, code binary, local binary, docs array<struct<id: long, file: long, row: long, slot: int, sha: binary>>"
 
 
 def _send(owners: int, bits: int):
-    def messages(ids: list[pa.Array], shas: list[pa.Array], chunk: int) -> pa.RecordBatch:
-        ids, shas = pa.concat_arrays(ids), pa.concat_arrays(shas)
+    def messages(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
+        ids, files, places, shas = (pa.concat_arrays([b.column(k) for b in held]) for k in range(4))
         raw = np.frombuffer(b"".join(shas.to_pylist()), dtype=">u8").reshape(-1, 4)[:, 0].astype(np.uint64)
         fp = raw >> np.uint64(64 - bits)
         order = np.argsort(fp, kind="stable")
@@ -83,7 +84,8 @@ def _send(owners: int, bits: int):
             local = np.bincount(slots[a:b]) > 1
             for x, v in zip(rows, (int(owner[a]), values.size, k, code, np.packbits(local).tobytes()), strict=True):
                 rows[x].append(v)
-        docs = pa.StructArray.from_arrays([ids.take(pa.array(order)), pa.array(slots), shas.take(pa.array(order)).cast(pa.binary())], names=["id", "slot", "sha"])
+        order = pa.array(order)
+        docs = pa.StructArray.from_arrays([ids.take(order), files.take(order), places.take(order), pa.array(slots), shas.take(order).cast(pa.binary())], names=["id", "file", "row", "slot", "sha"])
         lists = pa.ListArray.from_arrays(pa.array([*cuts, fp.size], pa.int32()), docs)
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk] * len(cuts), pa.int64()), pa.array(rows["owner"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["k"], pa.int32()), pa.array(rows["code"], pa.binary()), pa.array(rows["local"], pa.binary()), lists],
@@ -91,19 +93,15 @@ def _send(owners: int, bits: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[pa.Array] = []
-        shas: list[pa.Array] = []
+        part, seq, held = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             if batch.num_rows:
-                ids.append(batch.column(0))
-                shas.append(batch.column(1).cast(pa.binary()))
-                held += batch.num_rows
-            if held >= SENDER_ROWS:
-                yield messages(ids, shas, (part << 32) + seq)
-                ids, shas, held, seq = [], [], 0, seq + 1
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= SENDER_ROWS:
+                yield messages(held, (part << 32) + seq)
+                held, seq = [], seq + 1
         if held:
-            yield messages(ids, shas, (part << 32) + seq)
+            yield messages(held, (part << 32) + seq)
 
     return run
 
@@ -126,7 +124,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = docs.values
             bits = np.unpackbits(np.frombuffer(marks.as_buffer(), np.uint8)).astype(bool)
             slots = inner.field("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays([inner.field("id"), inner.field("sha"), pa.array(bits[slots])], names=["id", "sha", "suspect"])
+            yield pa.RecordBatch.from_arrays([*(inner.field(x) for x in ("id", "file", "row", "sha")), pa.array(bits[slots])], names=["id", "file_at", "row_at", "sha", "suspect"])
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -137,21 +135,23 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text are one document: each counts in group_size, and all are kept or none. A row with a null id is kept only
     if it is alone. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), normalised(text).alias("norm"))
-    source = source.withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    source = placed(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "texts")
+    sha = F.unhex(F.sha2("norm", 256)).alias("sha")
     owners = max(8, -(-docs.count() // OWNER_ROWS))
-    sent = materialize(source.select("id", "sha").mapInArrow(_send(owners, bits), _SENT), "sent")
+    hashed = source.select("id", "file_at", "row_at", normalised(F.col("text")).alias("norm")).select("id", "file_at", "row_at", sha)
+    sent = materialize(hashed.mapInArrow(_send(owners, bits), _SENT), "sent")
     answers = sent.select("chunk", "owner", "n", "k", "code", "local").groupBy("owner").applyInArrow(_answer, "chunk long, owner long, marks binary")
     marked = sent.select("chunk", "owner", "docs").join(answers, ["chunk", "owner"]).select("docs", "marks")
-    marked = materialize(marked.mapInArrow(_marked, "id long, sha binary, suspect boolean"), "marked")
-    suspects = materialize(marked.where("suspect").select("sha").distinct(), "suspects")
-    rows = suspects.count()
+    marked = materialize(marked.mapInArrow(_marked, "id long, file_at long, row_at long, sha binary, suspect boolean"), "marked")
+    noted = notes_of(leave_notes(marked.where("suspect").select("file_at", "row_at", F.lit(1).cast("long").alias("note")), "suspects"))
     # Byte verification: suspects travel as text and meet only those of the same bytes.
+    suspects = source.withColumn("note", noted("file_at", "row_at")).where("note is not null").select("id", F.length("text").cast("long").alias("chars"), normalised(F.col("text")).alias("norm"))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("id")))
-    verified = source.join(size_checked(suspects, rows, 96, BROADCAST_BYTES), "sha", "left_semi").groupBy("sha", "norm").agg(F.count("*").alias("size"), best.alias("best"))
-    groups = materialize(verified.select("sha", "size", F.col("best.id").alias("keep_id")).where("size > 1"), "groups")
-    out = marked.select("id", "sha").join(size_checked(groups, rows, 112, BROADCAST_BYTES), "sha", "left")
+    verified = suspects.select("id", "chars", "norm", sha).groupBy("sha", "norm").agg(F.count("*").alias("size"), best.alias("best"))
+    groups = materialize(verified.where("size > 1").select("sha", "size", F.col("best.id").alias("keep_id")), "groups")
+    # Digests only; what is no suspect needs no partner, and adaptive execution splits the digest of a hot group.
+    alone = marked.where("not suspect").select("id", "sha", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("keep_id"))
+    out = marked.where("suspect").select("id", "sha").join(groups, "sha", "left").select("id", "sha", "size", "keep_id").union(alone)
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias("doc_id"),

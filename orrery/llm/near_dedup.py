@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, mix64, shingle_sets, size_checked, table, text_slices
+from orrery.llm.common import leave_notes, materialize, mix64, notes_of, placed, shingle_sets, table, text_slices
 
 #: Bands x rows: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -30,7 +30,8 @@ RING_BITS = 20
 QUERY_BLOCK, TARGET_BLOCK = 128, 256
 #: Columns of a dense block of the shingle matrix.
 COLUMNS = 8192
-BROADCAST_BYTES = 8 << 20
+#: Members of a group that meet one copy of their hub's set in a task.
+HUB_ROWS = 512
 
 
 class Circulant:
@@ -67,8 +68,8 @@ def _signed(width: int, bands: int, rows: int):
                 found = [kernel.band_keys(s) if s.size else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *(x.size for x in found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([s.size for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))],
-                    names=["id", "n", "class_key", "bands"],
+                    [ids.slice(i, j - i), *(batch.column(k).slice(i, j - i) for k in (2, 3)), pa.array([s.size for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))],
+                    names=["id", "file_at", "row_at", "n", "class_key", "bands"],
                 )
 
     return run
@@ -170,11 +171,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id links with nothing, has a null component and is kept. Rows that share an id count as one
     document whose links are united. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(source.mapInArrow(_signed(width, bands, rows), "id long, n long, class_key binary, bands array<long>"), "signed")
+    source = placed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
+    signed = source.mapInArrow(_signed(width, bands, rows), "id long, file_at long, row_at long, n long, class_key binary, bands array<long>")
+    signed = materialize(signed, "signed")
     named = signed.where("id is not null and class_key is not null")
-    # One node for each distinct set.
-    classes = materialize(named.groupBy("class_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # One node for each distinct set, with the place of a row that has it.
+    one = F.min(F.struct("id", "file_at", "row_at")).alias("one")
+    classes = named.groupBy("class_key").agg(one, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("class_key", F.col("one.id").alias("node"), "one.file_at", "one.row_at", "n", "bands"), "classes")
     spread = classes.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     heads = spread.groupBy("band", "bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
     heads = materialize(heads, "heads")
@@ -182,14 +186,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Groups with the same members in several bands count once.
     once = members.groupBy("hub", "m", "x").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket")
     members = materialize(members.join(once, ["band", "bucket"], "left_semi"), "members")
-    wanted = materialize(members.select("node").distinct(), "wanted")
-    sets = source.withColumnRenamed("id", "node").join(size_checked(wanted, wanted.count(), 40, BROADCAST_BYTES), "node", "left_semi")
-    one_each = classes.select("node", "class_key")
-    sets = sets.select("node", "text").mapInArrow(_sets(width), "node long, n long, shingles binary")
-    sets = materialize(sets.where("n > 0").join(one_each.select("node").distinct(), "node", "left_semi"), "sets")
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # Only candidates' texts are cut into sets again, each by the task that scans it; a node has several sets if rows share its id.
+    wanted = members.select("node").distinct().join(classes, "node").select("file_at", "row_at", F.col("node").alias("note"))
+    noted = notes_of(leave_notes(wanted, "wanted"))
+    sets = source.withColumn("node", noted("file_at", "row_at")).where("node is not null").select("node", "text")
+    sets = materialize(sets.mapInArrow(_sets(width), "node long, n long, shingles binary"), "sets")
+    # A hub's set is copied for each HUB_ROWS of its members, so that a large group is many tasks' work.
+    salts = F.ceil(F.col("m") / HUB_ROWS)
+    pairs = members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("m").alias("m"))
+    pairs = pairs.select("a", "b", F.expr(f"pmod(xxhash64(a), ceil(m / {HUB_ROWS}))").alias("salt"))
+    hubs = members.groupBy(F.col("hub").alias("b")).agg(F.max("m").alias("m")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
     sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shingles").alias("a_set")), "a")
-    sides = sides.join(sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set")), "b")
+    hubs = hubs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set")), "b")
+    sides = sides.join(hubs, ["b", "salt"])
     sides = sides.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     links = materialize(sides.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "links")
     found = components(links)

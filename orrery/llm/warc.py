@@ -9,6 +9,7 @@ runs again leaves nothing that is read.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import struct
 import uuid
@@ -16,12 +17,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, shared_dir, size_checked, table
+from orrery.llm.common import leave_notes, materialize, notes_of, placed, shared_dir, store, table
 
 MAGIC = 0x184D2A5D
 #: Payload bytes of one archive, of what a dictionary is built from, and of the dictionary; shortest payload that is revisited.
@@ -29,17 +29,30 @@ ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES, REVISIT_BYTES = 32 << 20, 1 << 20, 64 <
 LEVEL = 3
 #: Tasks that read archives at most; with more archives each task reads several, one after another.
 READ_TASKS = 20_000
-BROADCAST_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
+def _name(page_id, place: tuple[int, int] | None) -> str:
+    """A record's id: a version 5 UUID of page and place, unique among pages that share an id and the same when a task runs again."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id} at {place}')}>"
+
+
+def info(date: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: orrery\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_name('info', None)}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id, url: str | None, payload: bytes, refers_to, date: str, place: tuple[int, int] | None = None) -> bytes:
+    """A response, or a revisit of the page refers_to; our own headers X-Page-ID and X-Refers-To hold the pages' ids, absent for null."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id, place)}", f"WARC-Date: {date}"]
+    head += [] if page_id is None else [f"X-Page-ID: {page_id}"]
     head += [f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~-._')}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"X-Refers-To: {refers_to}", f"WARC-Profile: {PROFILE}"]
     block = http if refers_to is not None else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -59,11 +72,12 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(sample)[-DICT_BYTES:].rjust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive(records: list[bytes], level: int = LEVEL) -> bytes:
+def archive(records: list[bytes], level: int = LEVEL, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A skippable frame with the dictionary, then warcinfo and each record as a frame of its own."""
     zdict = dictionary(records)
     raw = zdict.as_bytes()
     press = zstandard.ZstdCompressor(level=level, dict_data=zdict, write_content_size=True)
-    return b"".join([struct.pack("<II", MAGIC, len(raw)), raw, *map(press.compress, records)])
+    return b"".join([struct.pack("<II", MAGIC, len(raw)), raw, *map(press.compress, [info(date), *records])])
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -88,44 +102,48 @@ def parse(data: bytes) -> Iterator[dict]:
                 held, end, at = held[at:] + stream.read(max(1 << 20, size)), end - at, 0
             http, _, payload = held[end + 4 : end + 4 + size].partition(b"\r\n\r\n")
             at = end + 4 + size + 4
+            if head["WARC-Type"] == "warcinfo":
+                continue
             length = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
             digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
             if head["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != length):
                 raise ValueError("a payload differs from its digest")
-            refers = head.get("WARC-Refers-To", "<urn:page:>")[10:-1]
-            yield {"page_id": int(p) if (p := head["WARC-Record-ID"][10:-1]) else None, "url": head["WARC-Target-URI"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": int(refers) if refers else None}
+            yield {"page_id": int(head["X-Page-ID"]) if "X-Page-ID" in head else None, "url": head["WARC-Target-URI"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": int(head["X-Refers-To"]) if "X-Refers-To" in head else None}
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of pages and returns the manifest (path, records, bytes).
 
     A null html is an empty payload and a null url an empty one. Of rows whose equal payloads have at least
     REVISIT_BYTES bytes, those with the largest id are responses and the others revisit it; rows with a null id are
-    responses and nothing refers to them. An empty table gives no archives; other columns are ignored.
+    responses and nothing refers to them. An empty table gives no archives; other columns are ignored. date, of all
+    records, is the time of the call by default. Digests alone are shuffled; what a page refers to returns to it as a note.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    source = source.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    equal = source.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least")).where("least < keep")
-    equal = materialize(equal.select("digest", "size", "keep"), "equal")
-    source = source.join(size_checked(equal, equal.count(), 128, BROADCAST_BYTES), ["digest", "size"], "left")
-    source = source.select("page_id", "url", "payload", F.expr("case when page_id < keep then keep end").alias("refers_to"))
+    source = placed(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload")), "pages")
+    hashed = source.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "file_at", "row_at", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("size"))
+    hashed = materialize(hashed, "digests")
+    equal = hashed.groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least")).where("least < keep").drop("least")
+    notes = hashed.join(equal, ["digest", "size"]).where("page_id < keep").select("file_at", "row_at", F.col("keep").alias("note"))
+    noted = notes_of(leave_notes(notes, "revisits"))
+    source = source.select("page_id", "url", "payload", noted("file_at", "row_at").alias("refers_to"), "file_at", "row_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = store(folder)
         fs.create_dir(base, recursive=True)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            data, name = archive(held), f"{base}/{uuid.uuid4().hex}.warc.zst"
+            data, name = archive(held, date=date), f"{base}/{uuid.uuid4().hex}.warc.zst"
             with fs.open_output_stream(name) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(record(page_id, url, payload, refers_to, date))
+            for page_id, url, payload, refers_to, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(record(page_id, url, payload, refers_to, date, tuple(place)))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush()
@@ -145,7 +163,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, _ = pafs.FileSystem.from_uri(folder)
+                fs, _ = store(folder)
                 with fs.open_input_stream(path) as stream:
                     data = stream.read()
                 rows, size = [], 0

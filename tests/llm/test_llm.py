@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import decontamination, exact_dedup, language, licenses, line_dedup, mixing, near_dedup, ppm, quality, registry, warc
+from orrery.llm import common, decontamination, exact_dedup, language, licenses, line_dedup, mixing, near_dedup, ppm, quality, registry, warc
 from orrery.llm.common import text_slices, word_hashes, word_spans
 
 DIR = "/root/testdata/sf0.001"
@@ -61,6 +61,34 @@ def test_word_hashes():
     assert [i for i, *_ in text_slices(pa.array(["a", None, "b" * 50]), 10)] == [0, 2]
 
 
+def test_notes(spark, docs, tmp_path):
+    """Notes return to the rows of a file scan, and of what had to be written first; the rest have none."""
+    plain = docs.select("doc_id", "text").where("doc_id % 3 = 0")
+    grouped = docs.groupBy("doc_id").count()
+    assert common._plain_scan(plain) and not common._plain_scan(grouped) and not common._plain_scan(docs.join(grouped, "doc_id")) and not common._plain_scan(docs.select(F.explode(F.array("doc_id", "n_chars"))))
+    for df in (plain, grouped):
+        at = common.placed(df)
+        assert at.select("file_at", "row_at").distinct().count() == df.count()
+        noted = common.notes_of(common.leave_notes(at.where("doc_id % 2 = 0").select("file_at", "row_at", (F.col("doc_id") + (1 << 60) + 5).alias("note")), "n"))
+        got = at.select("doc_id", noted("file_at", "row_at").alias("note")).collect()
+        assert got and all(r.note is None if r.doc_id % 2 else r.note == r.doc_id + (1 << 60) + 5 for r in got)
+    none = common.notes_of(common.leave_notes(common.placed(plain).where("doc_id < 0").select("file_at", "row_at", F.lit(1).cast("long").alias("note")), "n"))
+    assert common.placed(plain).where(none("file_at", "row_at").isNotNull()).count() == 0
+    lost = common.notes_of(f"file://{tmp_path}/nowhere")
+    with pytest.raises(Exception, match="nowhere"):
+        common.placed(plain).where(lost("file_at", "row_at").isNotNull()).count()
+    assert common.store("file:/a/b")[1] == common.store("file:///a/b")[1] == "/a/b"
+
+
+def test_texts_stay_in_their_tasks(spark, docs):
+    """With broadcasts off as with them on, the scan of texts that looks for suspects feeds no exchange but through its notes."""
+    noted = common.notes_of("file:///none")
+    at = common.placed(docs.select("doc_id", "text"))
+    plan = at.withColumn("note", noted("file_at", "row_at")).where("note is not null").groupBy("text").count()._jdf.queryExecution().executedPlan().toString()
+    tree = plan[plan.rindex("Exchange") :]
+    assert "isnotnull(" in tree and "ArrowEvalPython" in tree and "FileScan" in tree
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
