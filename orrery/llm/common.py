@@ -112,34 +112,46 @@ def leave_notes(rows: DataFrame, tag: str) -> str:
     return folder
 
 
+class Notes:
+    """Reads, in a task, what leave_notes wrote to a folder; holds the notes of one block of rows at a time."""
+
+    def __init__(self, folder: str):
+        self.fs, self.base = store(folder)
+        self.key, self.at, self.note = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        with self.fs.open_input_stream(f"{self.base}/here"):  # a folder out of reach is an error, a file that isn't there a block without notes
+            pass
+
+    def _open(self, key: tuple[int, int]) -> None:
+        try:
+            with self.fs.open_input_stream(f"{self.base}/{key[0]}.{key[1]}") as stream:
+                both = np.frombuffer(stream.read(), np.int64)
+        except FileNotFoundError:
+            both = np.zeros(0, np.int64)
+        self.key, self.at, self.note = key, both[: both.size // 2], both[both.size // 2 :]
+
+    def of(self, files: pa.Array, rows: pa.Array) -> pa.Array:
+        """The notes at these places, null where there are none."""
+        files, rows = files.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False)
+        out, found = np.zeros(rows.size, np.int64), np.zeros(rows.size, dtype=bool)
+        blocks = rows // NOTE_ROWS
+        cuts = np.flatnonzero(np.concatenate([[True], (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])])) if rows.size else []
+        for a, b in zip(cuts, [*cuts[1:], rows.size], strict=True):
+            if self.key != (key := (int(files[a]), int(blocks[a]))):
+                self._open(key)
+            if self.at.size:
+                k = np.minimum(np.searchsorted(self.at, rows[a:b]), self.at.size - 1)
+                found[a:b], out[a:b] = self.at[k] == rows[a:b], self.note[k]
+        return pa.array(out, mask=~found)
+
+
 def notes_of(folder: str) -> Callable[[Column, Column], Column]:
-    """A function of file_at and row_at: the note that leave_notes left there, null without one."""
+    """A function of file_at and row_at: the note there, null without one. For plans that have no other Python in the stage."""
 
     @F.arrow_udf("long")
     def note(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        fs, base = store(folder)
-        with fs.open_input_stream(f"{base}/here"):  # a folder out of reach is an error, a file that isn't there a block without notes
-            pass
-        held: tuple = (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        notes = Notes(folder)
         for files, rows in batches:
-            files, rows = files.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False)
-            out, found = np.zeros(rows.size, np.int64), np.zeros(rows.size, dtype=bool)
-            blocks = rows // NOTE_ROWS
-            cuts = np.flatnonzero(np.concatenate([[True], (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])])) if rows.size else []
-            for a, b in zip(cuts, [*cuts[1:], rows.size], strict=True):
-                key = (int(files[a]), int(blocks[a]))
-                if held[0] != key:
-                    try:
-                        with fs.open_input_stream(f"{base}/{key[0]}.{key[1]}") as stream:
-                            both = np.frombuffer(stream.read(), np.int64)
-                    except FileNotFoundError:
-                        both = np.zeros(0, np.int64)
-                    held = (key, both[: both.size // 2], both[both.size // 2 :])
-                _, at, note = held
-                if at.size:
-                    k = np.minimum(np.searchsorted(at, rows[a:b]), at.size - 1)
-                    found[a:b], out[a:b] = at[k] == rows[a:b], note[k]
-            yield pa.array(out, mask=~found)
+            yield notes.of(files, rows)
 
     return note
 

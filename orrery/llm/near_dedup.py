@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import leave_notes, materialize, mix64, notes_of, placed, shingle_sets, table, text_slices
+from orrery.llm.common import Notes, leave_notes, materialize, mix64, placed, shingle_sets, table, text_slices
 
 #: Bands x rows: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -75,12 +75,18 @@ def _signed(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, folder: str):
+    """The sets of the rows that have a note, which is their node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(folder)
         for batch in batches:
-            for i, j, data, offs in text_slices(batch.column(1), 1 << 19):
+            node = notes.of(batch.column(1), batch.column(2))
+            wanted = node.is_valid()
+            node, text = node.filter(wanted), batch.column(0).filter(wanted)
+            for i, j, data, offs in text_slices(text, 1 << 19):
                 sets = shingle_sets(data, offs, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.size for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([node.slice(i, j - i), pa.array([s.size for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
 
     return run
 
@@ -188,9 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members.join(once, ["band", "bucket"], "left_semi"), "members")
     # Only candidates' texts are cut into sets again, each by the task that scans it; a node has several sets if rows share its id.
     wanted = members.select("node").distinct().join(classes, "node").select("file_at", "row_at", F.col("node").alias("note"))
-    noted = notes_of(leave_notes(wanted, "wanted"))
-    sets = source.withColumn("node", noted("file_at", "row_at")).where("node is not null").select("node", "text")
-    sets = materialize(sets.mapInArrow(_sets(width), "node long, n long, shingles binary"), "sets")
+    folder = leave_notes(wanted, "wanted")
+    sets = source.select("text", "file_at", "row_at").mapInArrow(_sets(width, folder), "node long, n long, shingles binary")
+    sets = materialize(sets, "sets")
     # A hub's set is copied for each HUB_ROWS of its members, so that a large group is many tasks' work.
     salts = F.ceil(F.col("m") / HUB_ROWS)
     pairs = members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("m").alias("m"))

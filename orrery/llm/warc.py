@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import leave_notes, materialize, notes_of, placed, shared_dir, store, table
+from orrery.llm.common import Notes, leave_notes, materialize, placed, shared_dir, store, table
 
 MAGIC = 0x184D2A5D
 #: Payload bytes of one archive, of what a dictionary is built from, and of the dictionary; shortest payload that is revisited.
@@ -127,13 +127,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     hashed = materialize(hashed, "digests")
     equal = hashed.groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least")).where("least < keep").drop("least")
     notes = hashed.join(equal, ["digest", "size"]).where("page_id < keep").select("file_at", "row_at", F.col("keep").alias("note"))
-    noted = notes_of(leave_notes(notes, "revisits"))
-    source = source.select("page_id", "url", "payload", noted("file_at", "row_at").alias("refers_to"), "file_at", "row_at")
+    told = leave_notes(notes, "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(folder)
         fs.create_dir(base, recursive=True)
-        held, size = [], 0
+        notes, held, size = Notes(told), [], 0
 
         def flush() -> pa.RecordBatch:
             data, name = archive(held, date=date), f"{base}/{uuid.uuid4().hex}.warc.zst"
@@ -142,7 +141,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             return pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         for batch in batches:
-            for page_id, url, payload, refers_to, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            refers = notes.of(batch.column("file_at"), batch.column("row_at"))
+            for page_id, url, payload, *place, refers_to in zip(*(c.to_pylist() for c in [*batch.columns, refers]), strict=True):
                 held.append(record(page_id, url, payload, refers_to, date, tuple(place)))
                 size += len(held[-1])
                 if size >= archive_bytes:
