@@ -32,6 +32,8 @@ QUERY_BLOCK, TARGET_BLOCK = 128, 256
 COLUMNS = 8192
 #: Members of a group that meet one copy of their hub's set in a task.
 HUB_ROWS = 512
+#: Keys that hold at least one row in HEAVY are sent to all tasks; there can't be more than this number of them.
+HEAVY = 1000
 
 
 class Circulant:
@@ -152,19 +154,30 @@ def _blocks(percent: int):
     return run
 
 
+def meet(many: DataFrame, few: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """many joined with few, which has a row for each key and in m the rows of many that have it at most; total is at least the rows of many.
+
+    Heavy keys, HEAVY of them for each that a row of many can have, are sent to all tasks, so no task gets all rows of one."""
+    heavy, light = few.where(F.col("m") * HEAVY >= total), few.where(F.col("m") * HEAVY < total)
+    rest = many.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return many.join(F.broadcast(heavy), on, how).unionByName(rest.join(light, on, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by alternating large-star and small-star steps.
 
     Distributed throughout; each step is written to the shared folder. Nodes without edges do not appear."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    total = now.count()
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("x"), "m").union(down.select(F.col("u").alias("x"), "m"))
-        after = materialize(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("m"))
+        large = meet(both, low, ["u"], 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("low"))  # a node's few centres: all lie below it
+        small = large.join(down, "u").select(F.col("v").alias("x"), "low").union(down.select(F.col("u").alias("x"), "low"))
+        after = materialize(small.where("x <> low").select(F.col("x").alias("u"), F.col("low").alias("v")).distinct(), "edges")
+        before, total = total, after.count()
+        if total == before and after.exceptAll(now).isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now = after
 
@@ -188,10 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = classes.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     heads = spread.groupBy("band", "bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
     heads = materialize(heads, "heads")
-    members = materialize(spread.join(heads, ["band", "bucket"]), "members")
     # Groups with the same members in several bands count once.
-    once = members.groupBy("hub", "m", "x").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket")
-    members = materialize(members.join(once, ["band", "bucket"], "left_semi"), "members")
+    heads = heads.groupBy("hub", "m", "x").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket", "hub", "m")
+    nodes = classes.count()
+    members = materialize(meet(spread, heads, ["band", "bucket"], nodes), "members")
     # Only candidates' texts are cut into sets again, each by the task that scans it; a node has several sets if rows share its id.
     wanted = members.select("node").distinct().join(classes, "node").select("file_at", "row_at", F.col("node").alias("note"))
     folder = leave_notes(wanted, "wanted")
@@ -212,9 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = members.join(found.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     part = part.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left")
     part = part.where("node <> hub").select("band", "bucket", "node", (F.col("c") != F.coalesce("hc", "hub")).alias("out"))
-    rest = part.groupBy("band", "bucket").agg(F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("all")).where("outs > 0 and all > 1")
-    part = part.join(rest, ["band", "bucket"]).withColumn("h", F.xxhash64("node"))
-    part = part.withColumn("qn", F.ceil(F.col("outs") / QUERY_BLOCK)).withColumn("tn", F.ceil(F.col("all") / TARGET_BLOCK))
+    part = materialize(part, "outside")
+    rest = part.groupBy("band", "bucket").agg(F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("m")).where("outs > 0 and m > 1")
+    part = meet(part, rest, ["band", "bucket"], nodes).withColumn("h", F.xxhash64("node"))
+    part = part.withColumn("qn", F.ceil(F.col("outs") / QUERY_BLOCK)).withColumn("tn", F.ceil(F.col("m") / TARGET_BLOCK))
     part = materialize(part, "rest")
     targets = part.select("band", "bucket", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("qb"), F.expr("pmod(h, tn)").alias("tb"), F.lit(False).alias("is_query"), F.lit(True).alias("is_target"))
     queries = part.where("out").select("band", "bucket", "node", F.expr("pmod(h, qn)").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("tb"), F.lit(True).alias("is_query"), F.lit(False).alias("is_target"))
