@@ -8,7 +8,8 @@ occurrences; a symbol seen n times has (2n - 1) / 2T. Symbols that the longer co
 Only a word's first ORDER - 1 symbols depend on the word before. So a text's code length is a sum over its words of
 what each costs from there on, and over its pairs of a word's last and the next one's first bytes. Chunks of texts
 keep their words as numbers of a dictionary of their own; only dictionaries and the pairs' codes meet in the shuffle,
-so what is frequent is one row per chunk, and nothing that grows with the corpus is broadcast unchecked.
+so what is frequent is one row per chunk. Counts return to a chunk for those of its words that other chunks have too,
+costs for its codes. Nothing is broadcast but the counts of three bytes, which the alphabet bounds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import _LOWER, held_out, materialize, table, text_slices, word_hashes, word_spans
@@ -29,12 +30,10 @@ from orrery.llm.common import _LOWER, held_out, materialize, table, text_slices,
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
 CHUNK_BYTES = 16 << 20
-#: Symbol costs are sent to all executors up to this size, of 16 bytes for each; beyond it chunks get those they ask for.
-BROADCAST_BYTES = 64 << 20
 #: The blank that ends a word and stands before it, and the end of a text.
 BLANK, END = 0x20, 0x0A
 
-_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, slots binary, words binary, wh long, slot int, code long, n long"
+_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, slots binary, words binary, seen binary, wh long, slot int, code long, n long"
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -68,6 +67,16 @@ def _edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def _press(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpress(blob: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_buffer()), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
+
+
 _HEAD, _TAIL = np.uint64((1 << 32) - 1), np.uint64(((1 << 32) - 1) << 32)
 
 
@@ -111,7 +120,7 @@ def _tally(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return code, np.bincount(at, np.concatenate([w for _, w in got]), minlength=code.size).astype(np.int64)
 
 
-def _chunked(order: int):
+def _chunked(order: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each chunk with its texts' words as dictionary numbers, then rows for its dictionary and for its pairs' codes."""
         part, seq = TaskContext.get().partitionId(), 0
@@ -132,7 +141,6 @@ def _chunked(order: int):
             del hashes
             train = np.repeat(~outs, sizes)
             n = np.bincount(slot[train], minlength=uniq.size)
-            press = zstandard.ZstdCompressor(level=1)
             picked: list[pa.Array] = [pa.array([], pa.binary())]
             seen = np.sort(at)
             for k, (data, s, e) in enumerate(words):
@@ -143,7 +151,7 @@ def _chunked(order: int):
             del picked, seen, at
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
             lists = {"ids": pa.ListArray.from_arrays(pa.array([0, sizes.size], pa.int32()), pa.concat_arrays(ids)), "held": one(outs, pa.bool_()), "sizes": one(sizes, pa.int64())}
-            blobs = {"slots": press.compress(slot.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()), "words": press.compress(_pack(text))}
+            blobs = {"slots": _press(slot), "words": zstandard.ZstdCompressor(level=1).compress(_pack(text)), "seen": _press(n)}
             del slot
             yield rows(1, **lists, **{k: pa.array([v], pa.binary()) for k, v in blobs.items()})
             del blobs
@@ -173,7 +181,7 @@ def _chunked(order: int):
                 starts, ends, first = word_spans(data, offs)
                 held.append((batch.column(0).slice(i, j - i), outs[i:j], np.diff(first), word_hashes(data, starts, ends), _edges(data, starts, ends), (data.copy(), starts.astype(np.int32), ends.astype(np.int32))))
                 size += data.size
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield from flush()
                     pa.default_memory_pool().release_unused()
                     size, seq = 0, seq + 1
@@ -183,7 +191,7 @@ def _chunked(order: int):
     return run
 
 
-_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "words": pa.binary(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
+_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "words": pa.binary(), "seen": pa.binary(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
 
 
 def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +213,13 @@ def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, row
 
 
-def _costs(order: int, pairs: np.ndarray):
-    """Costs of the codes of one two-byte context: all longer contexts lie in it; pairs are the counts of byte and next symbol."""
-    single = pairs.sum(axis=0)
+def _costs(order: int, shared):
+    """Costs of the codes of one three-byte context: all longer contexts lie in it; shared are the counts of three bytes, by their codes."""
 
     def run(rows: pa.Table) -> pa.Table:
+        triples, triple_n = shared.value
+        pairs = np.bincount((triples & np.uint64(0xFFFF)).astype(np.int64), triple_n, 1 << 16).astype(np.int64).reshape(256, 256)
+        single = pairs.sum(axis=0)
         code, n = rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
         cost, found = np.zeros(code.size), np.zeros(code.size, dtype=bool)
         # What the context above excludes: distinct symbols, and their occurrences in the next shorter context.
@@ -217,14 +227,16 @@ def _costs(order: int, pairs: np.ndarray):
         trained = n > 0
         levels = {}
         for k in range(order, 0, -1):
-            if k > 1:
-                mask = np.uint64((1 << (8 * (k + 1))) - 1)
-                g, at = np.unique(code[trained] & mask, return_inverse=True)
+            above = int(code[0] >> np.uint64(8)) & ((1 << (8 * k)) - 1)  # one for all rows where k < 4
+            if k > 2:
+                g, at = np.unique(code[trained] & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
                 times = np.bincount(at, n[trained], minlength=g.size).astype(np.int64)
+            elif k == 2:
+                some = slice(*np.searchsorted(triples, np.array([above << 8, (above + 1) << 8], dtype=np.uint64)))
+                g, times = triples[some], triple_n[some]
             else:
-                c1 = code[0] >> np.uint64(8) & np.uint64(255)  # one for all rows
-                symbols = np.flatnonzero(pairs[c1])
-                g, times = (c1 << np.uint64(8)) | symbols.astype(np.uint64), pairs[c1][symbols]
+                symbols = np.flatnonzero(pairs[above])
+                g, times = np.uint64(above << 8) | symbols.astype(np.uint64), pairs[above][symbols]
             levels[k] = (g, times)
         g0 = np.flatnonzero(single)
         levels[0] = (g0.astype(np.uint64), single[g0])
@@ -259,16 +271,16 @@ def _costs(order: int, pairs: np.ndarray):
 def symbol_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(code, cost): log10 of the probability of each code's symbol after its context, for (code, n) with n 0 where not trained.
 
-    Codes meet by the last two bytes of their contexts; of shorter contexts only counts of two bytes, 65,536 at most, are sent about."""
-    low = counts.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(1 << 16, dtype=np.int64)
-    pairs[low["g"].to_numpy()] = low["n"].to_numpy()
-    by = F.expr("shiftright(code, 8) & 65535")
-    return counts.groupBy(by.alias("by")).applyInArrow(_costs(order, pairs.reshape(256, 256)), "code long, cost double")
+    Codes meet by the last three bytes of their contexts; of shorter contexts the counts of three bytes are sent about,
+    one for each that occurs (2**24 at most, some 100,000 in text of a few languages)."""
+    low = counts.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.sum("n").alias("n")).toArrow().sort_by("g")
+    shared = counts.sparkSession.sparkContext.broadcast((low["g"].to_numpy().astype(np.uint64), low["n"].to_numpy()))
+    by = F.expr("shiftright(code, 8) & 16777215")
+    return counts.groupBy(by.alias("by")).applyInArrow(_costs(order, shared), "code long, cost double")
 
 
-def _summed(order: int, n_train: int, train_tokens: int, distinct: int, shared):
-    """Adds up a chunk: its row and, for its dictionary and its pairs' codes, counts and costs."""
+def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
+    """Adds up a chunk: its row, and what it was told: counts of those of its words that other chunks have too, and costs of its codes."""
     floor = math.log10(train_tokens + 0.1 * (distinct + 1))
     end = math.log10(n_train + 0.1) - floor
 
@@ -276,19 +288,13 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int, shared):
         if chunk.num_rows == 0:
             return _OUT.empty_table()
         is_word = told["code"].is_null()
-        known = told.filter(is_word)
-        c = np.zeros(known.num_rows)
+        ids, held, sizes, packed, words, seen = (chunk[x].combine_chunks() for x in ("ids", "held", "sizes", "slots", "words", "seen"))
+        known, asked = told.filter(is_word), told.filter(pc.invert(is_word)).sort_by("code")
+        c = _unpress(seen[0]).astype(np.float64)
         c[known["slot"].to_numpy()] = known["c"].to_numpy()
-        if shared is None:
-            asked = told.filter(pc.invert(is_word)).sort_by("code")
-            codes, costs = asked["code"].to_numpy().view(np.uint64), asked["cost"].to_numpy()
-        else:
-            codes, costs = shared.value
-        ids, held, sizes, packed, words = (chunk[x].combine_chunks() for x in ("ids", "held", "sizes", "slots", "words"))
-        sizes = sizes.values.to_numpy()
-        press = zstandard.ZstdDecompressor()
-        slot = np.ascontiguousarray(np.frombuffer(press.decompress(packed[0].as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        text = _unpack(press.decompress(words[0].as_buffer()), c.size)
+        codes, costs = asked["code"].to_numpy().view(np.uint64), asked["cost"].to_numpy()
+        sizes, slot = sizes.values.to_numpy(), _unpress(packed[0])
+        text = _unpack(zstandard.ZstdDecompressor().decompress(words[0].as_buffer()), c.size)
         first = np.concatenate([[0], np.cumsum(sizes)])
         cost = np.zeros(c.size)
         for low in range(0, c.size, 100_000):
@@ -318,7 +324,7 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int, shared):
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:  # order: 2 to 5
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:  # order: 3 to 5
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
     Trained on rows whose crc32(id as text) mod folds is not 0, whole corpus. score is log10 of the model's
@@ -329,24 +335,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), F.col(text_col).cast("string").alias("text"))
     n_train = source.where("not held").count()
-    chunks = materialize(source.mapInArrow(_chunked(order), _CHUNKS), "chunks")
+    chunks = materialize(source.mapInArrow(_chunked(order, chunk_bytes), _CHUNKS), "chunks")
     words = chunks.where("wh is not null").select("chunk", "wh", "slot", "n")
-    stats = materialize(words.groupBy("wh").agg(F.sum("n").alias("c")), "words")
-    seen = stats.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    distinct, train_tokens = seen.v + int(n_train > 0), (seen.n or 0) + n_train
+    # A word that one chunk alone has is counted there; the others meet by their hashes, one row for each chunk.
+    over = Window.partitionBy("wh")
+    met = words.select("chunk", "slot", "n", F.count("*").over(over).alias("k"), F.sum("n").over(over).alias("c"), (F.min("chunk").over(over) == F.col("chunk")).alias("first"))
+    met = materialize(met.where("k > 1").select("chunk", "slot", "c", (F.col("n") > 0).alias("own"), "first"), "words")
+    all_ = words.agg(F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    twice = met.agg(F.count_if("own").alias("rows"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("words")).first()
+    distinct, train_tokens = all_.v - twice.rows + twice.words + int(n_train > 0), all_.n + n_train
     asked = chunks.where("code is not null").select("chunk", "code", "n")
     counts = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "codes")
-    costs = symbol_costs(counts, order)
-    told = words.select(F.col("chunk").alias("of"), "wh", "slot").join(stats, "wh").select("of", "slot", "c", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("long").alias("code"))
-    shared = None
-    if counts.count() * 16 <= broadcast_bytes:
-        got = costs.toArrow().sort_by("code")
-        shared = docs.sparkSession.sparkContext.broadcast((got["code"].to_numpy().view(np.uint64), got["cost"].to_numpy()))
-    else:
-        costs = materialize(costs, "costs")
-        told = told.union(asked.join(costs, "code").select(F.col("chunk").alias("of"), F.lit(None).cast("int"), F.lit(None).cast("long"), "cost", "code"))
-    whole = chunks.where("ids is not null").select("chunk", "ids", "held", "sizes", "slots", "words")
-    summed = _summed(order, n_train, train_tokens, distinct, shared)
+    costs = materialize(symbol_costs(counts, order), "costs")
+    told = met.select(F.col("chunk").alias("of"), "slot", "c", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("long").alias("code"))
+    told = told.union(asked.join(costs, "code").select(F.col("chunk").alias("of"), F.lit(None).cast("int"), F.lit(None).cast("long"), "cost", "code"))
+    whole = chunks.where("ids is not null").select("chunk", "ids", "held", "sizes", "slots", "words", "seen")
+    summed = _summed(order, n_train, train_tokens, distinct)
     return whole.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

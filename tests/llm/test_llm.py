@@ -364,26 +364,25 @@ def brute_ppm(texts, order):
         yield i, len(ws) + 1, sum(c[w] > 0 for w in ws) + (n_train > 0), n, base, sum(cost(*x) for x in symbols(ws))
 
 
-@pytest.mark.parametrize("limit", [ppm.BROADCAST_BYTES, 0])
-def test_ppm(spark, docs, limit):
+@pytest.mark.parametrize("size", [ppm.CHUNK_BYTES, 20_000])
+def test_ppm(spark, docs, size):
     texts = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
     want = {r[0]: r[1:] for r in brute_ppm(texts, ppm.ORDER)}
-    got = {r.doc_id: tuple(r)[2:] for r in ppm.score_texts(rows(spark, texts), broadcast_bytes=limit).collect()}
+    got = {r.doc_id: tuple(r)[2:] for r in ppm.score_texts(rows(spark, texts).repartition(3), chunk_bytes=size).collect()}
     assert got.keys() == want.keys()
     for i, x in want.items():
         assert got[i] == pytest.approx(x, rel=1e-9)
 
 
-@pytest.mark.parametrize("limit", [ppm.BROADCAST_BYTES, 0])
-def test_ppm_cases(spark, cases, empty, limit):
+def test_ppm_cases(spark, cases, empty):
     want = sorted(map(str, ((r[0], *r[1:4]) for r in brute_ppm(CASES, ppm.ORDER))))
-    out = ppm.score_texts(cases, broadcast_bytes=limit).collect()
+    out = ppm.score_texts(cases).collect()
     assert sorted(str((r.doc_id, r.n_tokens, r.n_known, r.train_tokens)) for r in out) == want
     scores = {r[0]: r[5] for r in brute_ppm(CASES, ppm.ORDER) if r[0] not in (None, 9)}
     assert {r.doc_id: r.score for r in out if r.doc_id in scores} == pytest.approx(scores, rel=1e-9)
-    assert ppm.score_texts(empty, broadcast_bytes=limit).count() == 0
+    assert ppm.score_texts(empty).count() == 0
     blank = rows(spark, [(1, None), (2, "")])
-    assert [r.n_tokens for r in ppm.score_texts(blank, broadcast_bytes=limit).collect()] == [1, 1]
+    assert [r.n_tokens for r in ppm.score_texts(blank).collect()] == [1, 1]
 
 
 # ---------------------------------------------------------------- licences
