@@ -47,11 +47,32 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else uri)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder among those of shared_dir, for files that tasks write themselves."""
+    folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    fs, base = store(folder)
+    fs.create_dir(base, recursive=True)
+    return folder
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def materialize(df: DataFrame, tag: str, batch_bytes: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    batch_bytes bounds the Arrow batches that Python tasks get meanwhile."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH, None)
+    try:
+        if batch_bytes:
+            spark.conf.set(_BATCH, str(batch_bytes))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_bytes:
+            spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(id_col: str, modulus: int) -> Column:
@@ -92,9 +113,8 @@ def leave_notes(rows: DataFrame, tag: str) -> str:
 
     So what is found out about a row returns to it without a shuffle or broadcast of the rows, at any size. A task that
     runs again writes the same bytes under the same name."""
-    folder = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    folder = shared_folder(rows.sparkSession, tag)
     fs, base = store(folder)
-    fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/here") as out:
         out.write(b"notes")
 

@@ -15,17 +15,17 @@ costs for its codes. Nothing is broadcast but the counts of three bytes, which t
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, held_out, materialize, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import _LOWER, held_out, materialize, shared_folder, store, table, text_slices, word_hashes, word_spans
 
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
@@ -33,7 +33,10 @@ CHUNK_BYTES = 16 << 20
 #: The blank that ends a word and stands before it, and the end of a text.
 BLANK, END = 0x20, 0x0A
 
-_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, slots binary, words binary, seen binary, wh long, slot int, code long, n long"
+#: Bytes of text that reach a Python task at once.
+BATCH_BYTES = 8 << 20
+
+_CHUNKS = "chunk long, path string, wh long, slot int, code long, n long"
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -120,9 +123,12 @@ def _tally(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return code, np.bincount(at, np.concatenate([w for _, w in got]), minlength=code.size).astype(np.int64)
 
 
-def _chunked(order: int, chunk_bytes: int):
+def _chunked(order: int, chunk_bytes: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each chunk with its texts' words as dictionary numbers, then rows for its dictionary and for its pairs' codes."""
+        """For each chunk a file with its texts' words as dictionary numbers and a row that names it, then rows for its dictionary and for its pairs' codes.
+
+        A file's name is its attempt's own, so a task that runs again leaves nothing that is read."""
+        fs, base = store(folder)
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
@@ -149,12 +155,16 @@ def _chunked(order: int, chunk_bytes: int):
             del words
             text = pa.concat_arrays(picked).take(pa.array(np.argsort(np.argsort(at))))  # from the order of first places to that of slots
             del picked, seen, at
-            one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-            lists = {"ids": pa.ListArray.from_arrays(pa.array([0, sizes.size], pa.int32()), pa.concat_arrays(ids)), "held": one(outs, pa.bool_()), "sizes": one(sizes, pa.int64())}
-            blobs = {"slots": _press(slot), "words": zstandard.ZstdCompressor(level=1).compress(_pack(text)), "seen": _press(n)}
+            name = f"{base}/{uuid.uuid4().hex}"
+            each = pa.table({"ids": pa.concat_arrays(ids), "held": pa.array(outs, pa.bool_()), "sizes": pa.array(sizes, pa.int64())})
+            blobs = pa.table({"slots": pa.array([_press(slot)], pa.binary()), "words": pa.array([zstandard.ZstdCompressor(level=1).compress(_pack(text))], pa.binary()), "seen": pa.array([_press(n)], pa.binary())})
             del slot
-            yield rows(1, **lists, **{k: pa.array([v], pa.binary()) for k, v in blobs.items()})
-            del blobs
+            with fs.open_output_stream(name) as out:
+                for x in (each, blobs):
+                    with pa.ipc.new_stream(out, x.schema) as stream:
+                        stream.write_table(x)
+            yield rows(1, path=pa.array([name], pa.string()))
+            del blobs, each
             for low in range(0, uniq.size, 50_000):
                 some = uniq[low : low + 50_000]
                 yield rows(some.size, wh=pa.array(some.view(np.int64)), slot=pa.array(np.arange(low, low + some.size, dtype=np.int32)), n=pa.array(n[low : low + 50_000].astype(np.int64)))
@@ -191,7 +201,7 @@ def _chunked(order: int, chunk_bytes: int):
     return run
 
 
-_KINDS = {"chunk": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "slots": pa.binary(), "words": pa.binary(), "seen": pa.binary(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
+_KINDS = {"chunk": pa.int64(), "path": pa.string(), "wh": pa.int64(), "slot": pa.int32(), "code": pa.int64(), "n": pa.int64()}
 
 
 def word_codes(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,21 +289,24 @@ def symbol_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return counts.groupBy(by.alias("by")).applyInArrow(_costs(order, shared), "code long, cost double")
 
 
-def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
-    """Adds up a chunk: its row, and what it was told: counts of those of its words that other chunks have too, and costs of its codes."""
+def _summed(order: int, n_train: int, train_tokens: int, distinct: int, folder: str):
+    """Adds up a chunk: its file, and what it was told: counts of those of its words that other chunks have too, and costs of its codes."""
     floor = math.log10(train_tokens + 0.1 * (distinct + 1))
     end = math.log10(n_train + 0.1) - floor
 
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         if chunk.num_rows == 0:
             return _OUT.empty_table()
-        is_word = told["code"].is_null()
-        ids, held, sizes, packed, words, seen = (chunk[x].combine_chunks() for x in ("ids", "held", "sizes", "slots", "words", "seen"))
-        known, asked = told.filter(is_word), told.filter(pc.invert(is_word)).sort_by("code")
-        c = _unpress(seen[0]).astype(np.float64)
-        c[known["slot"].to_numpy()] = known["c"].to_numpy()
-        codes, costs = asked["code"].to_numpy().view(np.uint64), asked["cost"].to_numpy()
-        sizes, slot = sizes.values.to_numpy(), _unpress(packed[0])
+        key, value = told["key"].to_numpy(), told["value"].to_numpy()
+        with store(folder)[0].open_input_stream(chunk["path"][0].as_py()) as file:
+            each, blobs = (pa.ipc.open_stream(file).read_all() for _ in range(2))
+        ids, held, sizes, packed, words, seen = (x.combine_chunks() for x in (*each.columns, *blobs.columns))
+        c, is_word = _unpress(seen[0]).astype(np.float64), key >= 0
+        c[key[is_word]] = value[is_word]
+        codes, costs = -1 - key[~is_word], value[~is_word]
+        order_ = np.argsort(codes)
+        codes, costs = codes[order_].view(np.uint64), costs[order_]
+        sizes, slot = sizes.to_numpy(), _unpress(packed[0])
         text = _unpack(zstandard.ZstdDecompressor().decompress(words[0].as_buffer()), c.size)
         first = np.concatenate([[0], np.cumsum(sizes)])
         cost = np.zeros(c.size)
@@ -314,7 +327,7 @@ def _summed(order: int, n_train: int, train_tokens: int, distinct: int):
 
         score = total(cost[slot] + opening[: slot.size]) + opening[slot.size :]
         return pa.table([
-            ids.values, held.values, pa.array(sizes + 1), pa.array(total((c > 0)[slot].astype(np.int64)) + int(n_train > 0)), pa.array(np.full(sizes.size, train_tokens, np.int64)),
+            ids, held, pa.array(sizes + 1), pa.array(total((c > 0)[slot].astype(np.int64)) + int(n_train > 0)), pa.array(np.full(sizes.size, train_tokens, np.int64)),
             pa.array(total((np.log10(c + 0.1) - floor)[slot]) + end), pa.array(score),
         ], schema=_OUT)
 
@@ -335,7 +348,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), F.col(text_col).cast("string").alias("text"))
     n_train = source.where("not held").count()
-    chunks = materialize(source.mapInArrow(_chunked(order, chunk_bytes), _CHUNKS), "chunks")
+    folder = shared_folder(docs.sparkSession, "texts")
+    chunks = materialize(source.mapInArrow(_chunked(order, chunk_bytes, folder), _CHUNKS), "chunks", BATCH_BYTES)
     words = chunks.where("wh is not null").select("chunk", "wh", "slot", "n")
     # A word that one chunk alone has is counted there; the others meet by their hashes, one row for each chunk.
     over = Window.partitionBy("wh")
@@ -347,10 +361,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = chunks.where("code is not null").select("chunk", "code", "n")
     counts = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "codes")
     costs = materialize(symbol_costs(counts, order), "costs")
-    told = met.select(F.col("chunk").alias("of"), "slot", "c", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("long").alias("code"))
-    told = told.union(asked.join(costs, "code").select(F.col("chunk").alias("of"), F.lit(None).cast("int"), F.lit(None).cast("long"), "cost", "code"))
-    whole = chunks.where("ids is not null").select("chunk", "ids", "held", "sizes", "slots", "words", "seen")
-    summed = _summed(order, n_train, train_tokens, distinct)
+    # What a chunk is told: a slot's count, or, under -1 - code, a code's cost.
+    told = met.select(F.col("chunk").alias("of"), F.col("slot").cast("long").alias("key"), F.col("c").cast("double").alias("value"))
+    told = told.union(asked.join(costs, "code").select("chunk", F.lit(-1) - F.col("code"), "cost"))
+    whole = chunks.where("path is not null").select("chunk", "path")
+    summed = _summed(order, n_train, train_tokens, distinct, folder)
     return whole.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
