@@ -1,11 +1,9 @@
-"""Substring de-duplication by hashing lines, cut further at sentence ends.
+"""Substring de-duplication by line or paragraph hashing.
 
-A text is cut into units that add up to it: runs without line or sentence ends, with the ends that follow. Units are
-normalised, their digests grouped over all documents, the occurrence with the smallest (id, place) stays and the
-others are reported by their offsets in the original text.
-
-repeated_passages does the whole job: all repeated lines go whatever their length, and parts of lines as runs of
-repeated units, with the floor on the run's words. repeated_units judges each unit alone, short ones always staying.
+A text is cut into units that add up to it: lines, paragraphs, or lines cut further at sentence ends (the default, so
+that a passage that begins or ends within a line is found as well). Units are normalised, their digests grouped over
+all documents, and the occurrence with the smallest (id, place) stays. Of the others those go that stand in a run of
+repeated units with enough words together; they are reported by their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -19,178 +17,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, table
+from orrery.llm.common import materialize, meet, table
 
-#: Units with fewer words stay wherever they are: short ones recur by chance in clean texts.
-MIN_WORDS = 6
-UNITS = {"sentence": r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", "line": r"[^\n]*\n+|[^\n]+", "paragraph": r"(?s:.+?)(?:\n[ \t]*\n\s*|\Z)"}
-#: Units of passages don't reach over the start of a line, so that equal lines have equal units whatever stands before.
-PASSAGE_UNITS = r"[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+"
-_PASSAGES = "doc_id long, row long, n_units long, n_chars long, starts array<int>, ends array<int>, words array<int>, at array<int>, size array<int>, is_line array<boolean>, again array<boolean>, d1 array<long>, d2 array<long>"
-_SCHEMA = "doc_id long, n_units long, n_chars long, starts array<int>, ends array<int>, again array<boolean>, d1 array<long>, d2 array<long>"
+#: Words that a run of repeated units must have together to go: shorter ones recur by chance, or as a title or a mark of a source. 1: all repeats go.
+RUN_WORDS = 16
+#: No unit reaches over the start of a line, so equal lines have equal units whatever stands before them.
+UNITS = {"sentence": r"[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+", "line": r"[^\n]*\n+|[^\n]+", "paragraph": r"(?s:.+?)(?:\n[ \t]*\n\s*|\Z)"}
+#: Bytes of text that reach a Python task at once.
+BATCH_BYTES = 16 << 20
+_SCHEMA = "doc_id long, row long, n_units long, n_chars long, starts array<int>, ends array<int>, words array<int>, again array<boolean>, d1 array<long>, d2 array<long>"
 
 
-def _cut(unit: str, min_words: int):
+def _cut(unit: str):
+    """The units that have words: offsets, numbers of words, whether an equal one stands before in the text, and digests."""
     pattern = re.compile(UNITS[unit])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {x: [] for x in ("n", "c", "s", "e", "a", "d")}
-            ends = [0]
-            for text in batch.column(1).to_pylist():
-                text, seen, n = text or "", set(), 0
+            counts, chars, ends, digests = [], [], [0], []
+            cols: list[list] = [[], [], [], []]
+            for text in batch.column(2).to_pylist():
+                seen, n = set(), 0
                 for m in pattern.finditer(text):
                     n += 1
                     words = m.group().encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= min_words:
+                    if words:
                         d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        cols["s"].append(m.start())
-                        cols["e"].append(m.end())
-                        cols["a"].append(d in seen)
-                        cols["d"].append(d)
+                        for c, v in zip(cols, (m.start(), m.end(), len(words), d in seen), strict=True):
+                            c.append(v)
+                        digests.append(d)
                         seen.add(d)
-                cols["n"].append(n)
-                cols["c"].append(len(text))
-                ends.append(len(cols["s"]))
-            digests = np.frombuffer(b"".join(cols["d"]), dtype=np.int64).reshape(-1, 2)
-            offs = pa.array(ends, pa.int32())
-            lists = [pa.array(cols["s"], pa.int32()), pa.array(cols["e"], pa.int32()), pa.array(cols["a"], pa.bool_()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols["n"], pa.int64()), pa.array(cols["c"], pa.int64()), *(pa.ListArray.from_arrays(offs, x) for x in lists)], names=["doc_id", "n_units", "n_chars", "starts", "ends", "again", "d1", "d2"])
-
-    return run
-
-
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_units, n_removed, kept_chars, removed) per row of docs; removed: sorted offsets (start, end) of the text.
-
-    Units are equal if their words are, after lower-casing A-Z, whatever ASCII white space parts them; those of fewer
-    than min_words words always stay. Null and empty texts have no units. A row with a null id takes no part and
-    loses nothing. Rows that share an id have one rank: of a unit that stays there, each of them keeps its first.
-    An empty table gives no rows; other columns are ignored, whatever their names.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = materialize(source.mapInArrow(_cut(unit, min_words), _SCHEMA), "units")
-    each = cut.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("starts", "ends", "again", "d1", "d2")).alias("u")).select("doc_id", "u.*")
-    first = each.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other")
-    first = materialize(first.select("d1", "d2", "keeper"), "keepers")
-    # Adaptive execution broadcasts the keepers under Spark's own limit, and splits the partitions of frequent units.
-    gone = each.join(first, ["d1", "d2"], "left").where("again or doc_id <> keeper")
-    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.col("starts").alias("start"), F.col("ends").alias("end")))).alias("removed"))
-    out = cut.select("doc_id", "n_units", "n_chars").join(spans, "doc_id", "left")
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
-    lost = F.aggregate(removed, F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
-    return out.select("doc_id", "n_units", F.size(removed).cast("long").alias("n_removed"), (F.col("n_chars") - lost).alias("kept_chars"), removed.alias("removed"))
-
-
-def _passages(text: str, min_words: int) -> tuple[int, list[tuple[int, int, int]], list[tuple[int, int, bool, bool, bytes]]]:
-    """The number of units, those with words as (start, end, words), and what is hashed as (first unit, units, is a line, seen above, digest).
-
-    Hashed are the units, and the lines of fewer than min_words words: the units of a longer line that is repeated are
-    all repeated too and make a run that is long enough."""
-    n, units, hashed, seen = 0, [], [], set()
-    line: list[bytes] = []
-    head = 0
-
-    def add(at: int, size: int, words: list[bytes], is_line: bool) -> None:
-        d = hashlib.blake2b(b" ".join(words), digest_size=16, person=b"line" if is_line else b"unit").digest()
-        hashed.append((at, size, is_line, d in seen, d))
-        seen.add(d)
-
-    for m in re.finditer(PASSAGE_UNITS, text):
-        n += 1
-        raw = m.group()
-        words = raw.encode("utf-8", "surrogatepass").lower().split()
-        if words:
-            units.append((m.start(), m.end(), len(words)))
-            add(len(units) - 1, 1, words, False)
-            line += words
-        if line and (raw[-1] == "\n" or m.end() == len(text)):
-            if len(line) < min_words:
-                add(head, len(units) - head, line, True)
-            line, head = [], len(units)
-    return n, units, hashed
-
-
-def _cut_passages(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, counts, chars, units, hashed = [], [], [], [], []
-            unit_ends, hashed_ends = [0], [0]
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n, u, h = _passages(text, min_words)
-                rows.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
                 counts.append(n)
                 chars.append(len(text))
-                units += u
-                hashed += h
-                unit_ends.append(len(units))
-                hashed_ends.append(len(hashed))
-            digests = np.frombuffer(b"".join(x[4] for x in hashed), dtype=np.int64).reshape(-1, 2)
-            per_unit = [pa.array([x[k] for x in units], pa.int32()) for k in range(3)]
-            per_hash = [pa.array([x[0] for x in hashed], pa.int32()), pa.array([x[1] for x in hashed], pa.int32()), pa.array([x[2] for x in hashed], pa.bool_()), pa.array([x[3] for x in hashed], pa.bool_()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-            lists = [pa.ListArray.from_arrays(pa.array(unit_ends, pa.int32()), x) for x in per_unit] + [pa.ListArray.from_arrays(pa.array(hashed_ends, pa.int32()), x) for x in per_hash]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (rows, counts, chars)), *lists], names=[x.split()[0] for x in _PASSAGES.split(", ")])
+                ends.append(len(digests))
+            pairs = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            values = [*(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(chars, pa.int64()), *lists], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return run
 
 
-def _removed(units: list[tuple[int, int, int]], hits: list[tuple[int, int, bool]], min_words: int) -> list[dict]:
-    """Spans of the units in repeated lines, and of those in runs of repeated units with min_words words or more."""
-    repeated, gone = set(), set()
-    for at, size, is_line in hits:
-        (gone if is_line else repeated).update(range(at, at + size))
-    k = 0
-    while k < len(units):
-        stop = k
-        while stop in repeated:
-            stop += 1
-        if sum(units[i][2] for i in range(k, stop)) >= min_words:
-            gone.update(range(k, stop))
-        k = stop + 1
-    return [{"start": units[i][0], "end": units[i][1]} for i in sorted(gone)]
+def _runs(least: int):
+    """The spans of the repeated units of a text (hits) that stand in runs with least words or more."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-
-def _join_runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             removed = []
             for s, e, w, hits in zip(*(batch.column(k).to_pylist() for k in ("starts", "ends", "words", "hits")), strict=True):
-                removed.append(_removed(list(zip(s, e, w, strict=True)), [(h["at"], h["size"], h["is_line"]) for h in hits], min_words) if hits else [])
+                spans, k, hits = [], 0, sorted(hits or [])
+                while k < len(hits):
+                    stop = k + 1
+                    while stop < len(hits) and hits[stop] == hits[stop - 1] + 1:
+                        stop += 1
+                    if sum(w[i] for i in hits[k:stop]) >= least:
+                        spans += [{"start": s[i], "end": e[i]} for i in hits[k:stop]]
+                    k = stop
+                removed.append(spans)
             kept = [c - sum(x["end"] - x["start"] for x in r) for c, r in zip(batch.column("n_chars").to_pylist(), removed, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_units"), pa.array([len(r) for r in removed], pa.int64()), pa.array(kept, pa.int64()), pa.array(removed, kind)], names=["doc_id", "n_units", "n_removed", "kept_chars", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("n_units"), pa.array([len(r) for r in removed], pa.int64()), pa.array(kept, pa.int64()), pa.array(removed, kind)], names=["doc_id", "row", "n_units", "n_removed", "kept_chars", "removed"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of repeated_units. Removed are all repeated lines, and all runs of repeated units of min_words words or more.
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:
+    """(doc_id, row, n_units, n_removed, kept_chars, removed) per row of docs; removed: sorted offsets (start, end) of the text, row: a hash of it.
 
-    A line or unit is repeated if it has words and an equal one with a smaller (id, place); equality is that of
-    repeated_units. Units without words stay and part no run. So the first occurrence of any unit stays, and only
-    parts of a line that together have fewer than min_words words stay repeated. Null ids, shared ids and empty
-    tables are as in repeated_units, but a row's spans always follow its own text.
+    Units are equal if their words are, after lower-casing A-Z, whatever ASCII white space parts them. A unit is
+    repeated if an equal one has a smaller (id, place). Repeated units go where they stand in a run of them, units
+    without words aside, that has run_words words or more. Null and empty texts have no units. A row with a null id
+    takes no part and loses nothing. Rows that share an id have one rank: of a unit that stays there, each of them
+    keeps its first; a row's spans are always of its own text. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = materialize(source.mapInArrow(_cut_passages(min_words), _PASSAGES), "passages")
-    each = cut.where("doc_id is not null").select("doc_id", "row", F.explode(F.arrays_zip("at", "size", "is_line", "again", "d1", "d2")).alias("u")).select("doc_id", "row", "u.*")
-    first = each.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other")
-    first = materialize(first.select("d1", "d2", "keeper"), "keepers")
-    gone = each.join(first, ["d1", "d2"], "left").where("again or doc_id <> keeper")
-    hits = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "size", "is_line")).alias("hits"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    cut = materialize(source.mapInArrow(_cut(unit), _SCHEMA), "units", BATCH_BYTES)
+    each = cut.where("doc_id is not null").select("doc_id", "row", F.posexplode(F.arrays_zip("again", "d1", "d2")).alias("at", "u")).select("doc_id", "row", "at", "u.*")
+    first = each.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.count("*").alias("m")).where("keeper <> other")
+    first = materialize(first.select("d1", "d2", "keeper", "m"), "keepers")
+    units = cut.where("doc_id is not null").agg(F.coalesce(F.sum(F.size("again")), F.lit(0)).alias("n")).first().n
+    later = meet(each.where("not again").drop("again"), first, ["d1", "d2"], units).where("doc_id <> keeper").select("doc_id", "row", "at")
+    hits = later.union(each.where("again").select("doc_id", "row", "at")).groupBy("doc_id", "row").agg(F.collect_set("at").alias("hits"))
     out = cut.select("doc_id", "row", "n_units", "n_chars", "starts", "ends", "words").join(hits, ["doc_id", "row"], "left")
-    return out.mapInArrow(_join_runs(min_words), "doc_id long, n_units long, n_removed long, kept_chars long, removed array<struct<start:int,end:int>>")
+    return out.mapInArrow(_runs(run_words), "doc_id long, row long, n_units long, n_removed long, kept_chars long, removed array<struct<start:int,end:int>>")
+
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:
+    """The columns of docs with the repeats of repeated_units cut out of the text, and removed_spans, their offsets in the original one, null if none.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeats cut out of the text, and removed_spans with their offsets in the original one; by passages or by one of UNITS."""
-    found = repeated_passages(docs, id_col, text_col, min_words) if unit == "passage" else repeated_units(docs, id_col, text_col, unit, min_words)
-    spans = found.where("n_removed > 0").select(F.col("doc_id").alias("__span_id"), F.col("removed").alias("__spans")).dropDuplicates(["__span_id"])
+    Rows meet their spans by id and text, so rows that share an id with other texts keep their own; repeated rows are
+    cut alike. Null and empty texts and rows with a null id stay as they are; an empty table gives no rows; a column
+    named removed_spans is replaced."""
+    found = repeated_units(docs, id_col, text_col, unit, run_words).where("n_removed > 0")
+    spans = found.select(F.col("doc_id").alias("__span_id"), F.col("row").alias("__span_row"), F.col("removed").alias("__spans")).dropDuplicates(["__span_id", "__span_row"])
     kept = [c for c in docs.columns if c not in (text_col, "removed_spans")]
-    joined = docs.select(*kept, text_col).join(spans, F.col(id_col).cast("long") == F.col("__span_id"), "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col(text_col).cast("string")
+    joined = docs.select(*kept, text_col).join(spans, (F.col(id_col).cast("long") == F.col("__span_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__span_row")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def part(acc, x):
         return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]))).alias("parts"))
@@ -205,38 +130,19 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_removed", "kept_chars", F.array_join(spans, ",").alias("removed_spans"))
 
 
-def op9_passage_dedup(spark, sf_dir: str) -> DataFrame:
-    """The whole job; op9_line_dedup keeps to the rule of its SQL, which leaves short units."""
-    out = repeated_passages(table(spark, sf_dir, "documents"))
-    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
-    return out.select("doc_id", "n_units", "n_removed", "kept_chars", F.array_join(spans, ",").alias("removed_spans"))
-
-
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup}
+QUERIES = {"op9_line_dedup": op9_line_dedup}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE = {
     "op9_line_dedup": rf"""
-WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS parts FROM documents),
+WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_extract_all(coalesce(text, ''), '{UNITS["sentence"]}') AS parts FROM documents),
 x AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM p),
 y AS (SELECT doc_id, pos, length(raw) AS n, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS "end",
              regexp_extract_all(translate(raw, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM x),
-z AS (SELECT doc_id, pos, n, "end", row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) AS place FROM y WHERE len(words) >= {MIN_WORDS}),
-g AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS lost, string_agg(("end" - n)::VARCHAR || '-' || "end"::VARCHAR, ',' ORDER BY pos) AS removed_spans FROM z WHERE place > 1 GROUP BY doc_id)
-SELECT p.doc_id, len(parts) AS n_units, coalesce(n_removed, 0) AS n_removed, chars - coalesce(lost, 0) AS kept_chars, coalesce(removed_spans, '') AS removed_spans
-FROM p LEFT JOIN g ON p.doc_id = g.doc_id
-""",
-    "op9_passage_dedup": rf"""
-WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+') AS parts FROM documents),
-x AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM p),
-y AS (SELECT doc_id, pos, length(raw) AS n, sum(length(raw)) OVER w::BIGINT AS "end", sum((suffix(raw, chr(10)))::INT) OVER w - suffix(raw, chr(10))::INT AS line,
-             regexp_extract_all(translate(raw, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 z AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) > 1 AS again FROM y WHERE len(words) > 0),
-l AS (SELECT doc_id, line, string_agg(array_to_string(words, ' '), ' ' ORDER BY pos) AS key FROM z GROUP BY doc_id, line),
-m AS (SELECT doc_id, line, row_number() OVER (PARTITION BY key ORDER BY doc_id, line) > 1 AS line_again FROM l),
 r AS (SELECT *, sum((NOT again)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM z),
 s AS (SELECT *, sum(CASE WHEN again THEN len(words) ELSE 0 END) OVER (PARTITION BY doc_id, run) AS total FROM r),
 g AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS lost, string_agg(("end" - n)::VARCHAR || '-' || "end"::VARCHAR, ',' ORDER BY pos) AS removed_spans
-      FROM s JOIN m USING (doc_id, line) WHERE line_again OR (again AND total >= {MIN_WORDS}) GROUP BY doc_id)
+      FROM s WHERE again AND total >= {RUN_WORDS} GROUP BY doc_id)
 SELECT p.doc_id, len(parts) AS n_units, coalesce(n_removed, 0) AS n_removed, chars - coalesce(lost, 0) AS kept_chars, coalesce(removed_spans, '') AS removed_spans
 FROM p LEFT JOIN g ON p.doc_id = g.doc_id
 """,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Notes, leave_notes, materialize, mix64, placed, shingle_sets, table, text_slices
+from orrery.llm.common import Notes, leave_notes, materialize, meet, mix64, placed, shingle_sets, table, text_slices
 
 #: Bands x rows: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -32,8 +32,6 @@ QUERY_BLOCK, TARGET_BLOCK = 128, 256
 COLUMNS = 8192
 #: Members of a group that meet one copy of their hub's set in a task.
 HUB_ROWS = 512
-#: Keys that hold at least one row in HEAVY are sent to all tasks; there can't be more than this number of them.
-HEAVY = 1000
 
 
 class Circulant:
@@ -154,15 +152,6 @@ def _blocks(percent: int):
     return run
 
 
-def meet(many: DataFrame, few: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """many joined with few, which has a row for each key and in m the rows of many that have it at most; total is at least the rows of many.
-
-    Heavy keys, HEAVY of them for each that a row of many can have, are sent to all tasks, so no task gets all rows of one."""
-    heavy, light = few.where(F.col("m") * HEAVY >= total), few.where(F.col("m") * HEAVY < total)
-    rest = many.join(F.broadcast(heavy.select(*on)), on, "left_anti")
-    return many.join(F.broadcast(heavy), on, how).unionByName(rest.join(light, on, how))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by alternating large-star and small-star steps.
 

@@ -442,26 +442,62 @@ def test_mixed_documents_are_whole(spark, docs):
 # ---------------------------------------------------------------- lines, archives
 
 
+def brute_repeats(texts, unit, least):
+    pattern, cut = re.compile(line_dedup.UNITS[unit]), []
+    for k, (i, t) in enumerate(texts):
+        for m in pattern.finditer(t or ""):
+            if w := m.group().encode().lower().split():
+                cut.append((i, k, m.start(), m.end(), tuple(w)))
+    first = {}
+    for i, k, a, _, w in cut:
+        if i is not None and (w not in first or (i, k, a) < first[w]):
+            first[w] = (i, k, a)
+    out = []
+    for k, (_, t) in enumerate(texts):
+        spans, run = [], []
+        for i, _, a, b, w in [*(x for x in cut if x[1] == k), (None, k, 0, 0, ())]:
+            if i is not None and first[w] != (i, k, a):
+                run.append((a, b, len(w)))
+                continue
+            spans += [x[:2] for x in run] if sum(x[2] for x in run) >= least else []
+            run = []
+        out.append((len(pattern.findall(t or "")), len(spans), len(t or "") - sum(b - a for a, b in spans), tuple(spans)))
+    return out
+
+
+@pytest.mark.parametrize(("unit", "least"), [("sentence", line_dedup.RUN_WORDS), ("line", 1), ("paragraph", 1), ("sentence", 1)])
+def test_line_brute_force(spark, docs, unit, least):
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: (r.n_units, r.n_removed, r.kept_chars, tuple(map(tuple, r.removed))) for r in line_dedup.repeated_units(docs, unit=unit, run_words=least).collect()}
+    want = dict(zip([i for i, _ in texts], brute_repeats(texts, unit, least), strict=True))
+    assert got == want and any(x[1] for x in want.values())
+    cut = {r.doc_id: r for r in line_dedup.remove_repeats(docs, unit=unit, run_words=least).collect()}
+    for i, t in texts:
+        assert cut[i].text == "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in want[i][3]))
+
+
 def test_line_cases(spark, cases, empty):
-    got = {r.doc_id: r for r in line_dedup.repeated_units(cases).collect()}
-    assert line_dedup.repeated_units(cases).count() == len(CASES) and got[1].n_units == 0 and got[None].n_removed == 0
-    assert line_dedup.repeated_units(empty).count() == 0
+    for unit in line_dedup.UNITS:
+        got = {r.doc_id: r for r in line_dedup.repeated_units(cases, unit=unit, run_words=1).collect()}
+        assert line_dedup.repeated_units(cases, unit=unit).count() == len(CASES) and got[1].n_units == got[2].n_units == 0 and got[None].n_removed == 0
+        assert got[4].n_removed == 0 and got[5].n_removed == got[6].n_removed == 1 and got[5].kept_chars == got[6].kept_chars == 0
+        assert line_dedup.repeated_units(empty, unit=unit).count() == line_dedup.remove_repeats(empty, unit=unit).count() == 0
     texts = [(2, "alpha beta gamma delta eps zeta. tail"), (1, "Head. Alpha  beta gamma delta eps zeta. alpha beta gamma delta eps zeta.")]
-    out = {r.doc_id: r for r in line_dedup.remove_repeats(rows(spark, texts)).collect()}
+    out = {r.doc_id: r for r in line_dedup.remove_repeats(rows(spark, texts), run_words=6).collect()}
     assert out[2].text == " tail" and [tuple(s) for s in out[2].removed_spans] == [(0, 32)]
     assert [tuple(s) for s in out[1].removed_spans] == [(39, 72)] and out[1].text == texts[1][1][:39]
 
 
-def test_line_passages(spark, cases, empty):
-    got = {r.doc_id: r for r in line_dedup.repeated_passages(cases).collect()}
-    assert line_dedup.repeated_passages(cases).count() == len(CASES) and got[None].n_removed == 0 and got[4].n_removed == 0 and got[5].kept_chars == 0
-    assert got[6].kept_chars == 0 and line_dedup.repeated_passages(empty).count() == 0
-    line = "Uno due tre. Quattro. Cinque sei sette."  # no piece has six words
-    texts = [(1, f"Yes.\n{line}\nIt ended.\n"), (2, f"Menu\nyes.\nHere it is: no. {line} New words.\n"), (3, "Menu\n.menu\nIs it? Yes.\n"), (4, "It ended.\n.menu\nOther.")]
-    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(rows(spark, texts)).collect()}
-    assert out[1] == texts[0][1]  # first occurrences stay
-    assert out[2] == "Menu\nHere it is: no. New words.\n"  # a short line, and a run of short pieces in a long line
-    assert out[3] == ".menu\nIs it? Yes.\n" and out[4] == "Other."  # one short piece of a line stays
+def test_lines_of_rows_that_share_an_id(spark):
+    """Spans are cut from their own row's text, whatever stands under the same id; equal rows are cut alike."""
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen. "
+    texts = [(1, line), (9, "short"), (9, "a completely other and longer text of its own that says nothing twice elsewhere"), (9, f"Begin. {line}End."), (9, f"Begin. {line}End."), (None, line)]
+    found = [r for r in line_dedup.repeated_units(rows(spark, texts)).collect()]
+    assert sorted(r.kept_chars for r in found) == sorted([len(line), 5, len(texts[2][1]), 11, 11, len(line)])
+    got = sorted((r.text for r in line_dedup.remove_repeats(rows(spark, texts)).collect()))
+    assert got == sorted([line, "short", texts[2][1], "Begin. End.", "Begin. End.", line])
+    most = rows(spark, [(k, f"{line}\nown {k}") for k in range(3000)])  # one line in every document
+    assert {r.n_removed for r in line_dedup.repeated_units(most).where("doc_id > 0").collect()} == {1}
 
 
 def test_warc_round_trip(spark):
