@@ -2,7 +2,7 @@
 
 One Bloom filter holds the n-grams of all languages: each position keeps a bit per language (bit slices), so the AND
 of the masks at an n-gram's positions gives all languages that contain it. A text's popcount for a language, less
-what false positives add on average, decides.
+what false positives add on average, decides. Masks are as many 64-bit words wide as the languages need.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import held_out, materialize, mix64, table, text_slices
@@ -61,13 +61,11 @@ class Filter:
     @classmethod
     def build(cls, by_lang: dict[str, np.ndarray], rows: dict[str, int]) -> Filter:
         langs = sorted(rows)
-        if len(langs) > 64:
-            raise ValueError("a mask holds 64 languages")
-        masks = np.zeros(SIZE, dtype=np.uint64)
+        masks = np.zeros((-(-len(langs) // 64), SIZE), dtype=np.uint64)
         for bit, lang in enumerate(langs):
             for at in positions(by_lang.get(lang, np.zeros(0, np.uint64))):
-                masks[at] |= np.uint64(1 << bit)
-        fill = np.array([((masks >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(langs))])
+                masks[bit // 64, at] |= np.uint64(1 << bit % 64)
+        fill = np.array([((masks[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(langs))])
         prior = max(range(len(langs)), key=lambda b: (rows[langs[b]], -b), default=-1)
         return cls(langs, masks, fill**HASHES, prior, rows[langs[prior]] / sum(rows.values()) if langs else 0.0)
 
@@ -76,11 +74,14 @@ class Filter:
         rows = offs.size - 1
         code, row = grams(data, offs)
         at = positions(code)
-        hit = self.masks[at[0]]
-        for k in range(1, HASHES):
-            hit &= self.masks[at[k]]
         total = np.bincount(row, minlength=rows).astype(np.float64)
-        counts = np.stack([np.bincount(row[((hit >> np.uint64(b)) & np.uint64(1)).astype(bool)], minlength=rows) for b in range(len(self.langs))] or [np.zeros(rows)], axis=1)
+        counts = np.zeros((rows, max(1, len(self.langs))))
+        for low, mask in enumerate(self.masks):
+            hit = mask[at[0]]
+            for k in range(1, HASHES):
+                hit &= mask[at[k]]
+            for b in range(64 * low, min(64 * low + 64, len(self.langs))):
+                counts[:, b] = np.bincount(row[((hit >> np.uint64(b % 64)) & np.uint64(1)).astype(bool)], minlength=rows)
         f = self.false if self.langs else np.zeros(1)
         right = np.maximum((counts - f * total[:, None]) / np.maximum(1 - f, 1e-9), 0)
         best, sums = right.argmax(axis=1), right.sum(axis=1)
@@ -102,11 +103,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, sample_rows: int = SAMPLE_ROWS, top: int = TOP_GRAMS, ratio: float = RATIO) -> Filter:
     """Learns from rows with a language whose crc32(id as text) mod folds is not 0: of each language a hashed share of about sample_rows rows.
 
-    A language contains an n-gram if it is among its top most frequent and its share there is at least ratio of the
-    largest share in any language."""
+    A language contains an n-gram if it is among its top most frequent (ties: the smaller code) and its share there is
+    at least ratio of the largest share in any language. Rows with a null id or language teach nothing, null and empty
+    texts no n-gram; repeated rows count each. An empty table, or one without languages, makes a filter that calls
+    every text `und`; other columns are ignored. The driver holds what the number of languages bounds."""
     usable = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = usable.where(~held_out("id", folds) & F.col("lang").isNotNull())
-    rows = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    rows = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not rows:
         return Filter.build({}, {})
     share = F.element_at(F.create_map(*[x for k, n in sorted(rows.items()) for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))]), F.col("lang"))
@@ -120,10 +123,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     freq = counts.withColumn("f", F.col("n") / size)
     strong = freq.groupBy("code").agg(F.collect_list(F.struct("lang", "f", "n")).alias("x"), F.max("f").alias("m"))
     strong = strong.select("code", "m", F.explode("x").alias("x")).select("code", "x.*", "m").where(F.col("f") >= ratio * F.col("m"))
-    by_lang = {}
-    for lang in sorted(rows):
-        got = strong.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(top).select("code").toArrow()
-        by_lang[lang] = got["code"].to_numpy().astype(np.uint64)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    kept = strong.withColumn("place", place).where(F.col("place") <= top).select("lang", "code").toArrow()
+    langs, codes = kept["lang"].to_numpy(), kept["code"].to_numpy().astype(np.uint64)
+    by_lang = {lang: codes[langs == lang] for lang in sorted(rows)}
     return Filter.build(by_lang, rows)
 
 

@@ -169,17 +169,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offs in text_slices(batch.column(0)):
             x = statistics(data, offs).astype(np.float64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), lists], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (1, 2)), lists], names=["id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> Trees:
-    """Trains on at most sample_rows labelled rows whose crc32(id as text) mod folds is not 0."""
+    """Trains on at most sample_rows labelled documents whose crc32(id as text) mod folds is not 0: those with the smallest hashes of their ids.
+
+    Of labels or rows that share an id one is learnt from: the smallest label, with the smallest statistics; so neither
+    repeated labels nor repeated rows make the sample larger. Null ids and labels teach nothing; null texts count as
+    empty ones. Without usable labels, or with one class, the trees predict the base rate. Other columns are ignored."""
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
-    usable = usable.where(~held_out("id", folds) & F.col("label").isNotNull())
-    sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    usable = usable.where(~held_out("id", folds) & F.col("label").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
+    sample = usable.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(_features, "label double, x array<double>")
-    got = rows.orderBy(F.xxhash64("x"), "label").toArrow() if sample_rows else None  # sorted: the same trees whatever the partitions
+    rows = source.join(F.broadcast(sample), "id").select("text", "id", "label").mapInArrow(_features, "id long, label double, x array<double>")
+    # One row for each id, sorted on the driver: the same trees whatever the partitions.
+    got = rows.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.label", "r.x").toArrow().sort_by("id")
     y = got["label"].to_numpy()
     x = got["x"].combine_chunks().values.to_numpy().reshape(y.size, -1) if y.size else np.zeros((0, 1))
     return train(x.astype(np.float32), (y > 0).astype(np.float64))
@@ -205,7 +210,10 @@ def score_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows and columns of docs that score at least the threshold."""
+    """The rows and columns of docs that score at least the threshold.
+
+    A null text scores as an empty one; ids play no part, so repeated rows share their fate and null ids stay or go by
+    their texts; an empty table gives no rows; other columns pass through, whatever their names."""
     shared, position = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
