@@ -37,10 +37,10 @@ def _per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def _repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each row: distinct, occurrences of the most frequent, units that occur more than once."""
+def _repeats(h: np.ndarray, first: np.ndarray, cut: int = 0) -> np.ndarray:
+    """For each row, without its last cut units: distinct, occurrences of the most frequent, units that occur more than once."""
     out = np.zeros((first.size - 1, 3))
-    for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+    for r, (a, b) in enumerate(zip(first[:-1].tolist(), (first[1:] - cut).tolist(), strict=True)):
         if b > a:
             s = np.sort(h[a:b])
             n = np.diff(np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [s.size]]))
@@ -62,10 +62,11 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     same = np.zeros(h.size)
     if h.size > 1:
         same[1:] = h[1:] == h[:-1]
+        same[first[:-1][first[:-1] < h.size]] = 0  # a row's first word has none before it
     upper = np.concatenate([[0], np.cumsum(_CLASS[data] == 1)])
     loud = (upper[ends] - upper[starts]) * 2 > length if ends.size else np.zeros(0)
     once = _repeats(h, first)
-    pairs = _repeats((h[:-1] * np.uint64(3) + h[1:])[: max(h.size - 1, 0)], np.minimum(first, max(h.size - 1, 0)))
+    pairs = _repeats(h[:-1] * np.uint64(3) + h[1:], first, 1)  # a row's last word begins none
     l_starts, l_ends, l_first = word_spans(data, offs, _LINE)
     lines = _repeats(word_hashes(data, l_starts, l_ends), l_first)
     n_lines = np.diff(l_first).astype(np.float64)

@@ -330,6 +330,110 @@ def test_quality(spark, docs, cases, empty):
     assert quality.keep_good(cases, trees).columns == cases.columns
 
 
+def test_language_brute_force(spark, docs):
+    """Counting, choice of n-grams, filter and decision in plain Python."""
+    rows_ = docs.collect()
+    model = language.learn(docs, top=300)
+
+    def grams(text):
+        data = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in text.encode().lower())
+        data = b" " + data + b" "
+        return [data[k : k + 4] for k in range(len(data) - 3) if 32 not in data[k + 1 : k + 3]]
+
+    counts = defaultdict(Counter)
+    for r in rows_:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts[r.lang].update(grams(r.text or ""))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    top = {}
+    for x, c in counts.items():
+        strong = [g for g in c if share[x][g] >= language.RATIO * max(share[y].get(g, 0) for y in counts)]
+        top[x] = sorted(strong, key=lambda g: (-c[g], g))[:300]
+    code = lambda g: int.from_bytes(g, "big")
+    slots = {x: {int(p) for p in language.positions(np.array([code(g) for g in top[x]], np.uint64)).ravel()} for x in top}
+    told = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for r in rows_[:80]:
+        seen = grams(r.text or "")
+        at = language.positions(np.array([code(g) for g in seen], np.uint64).reshape(-1)).T.tolist()
+        right = {}
+        for x in sorted(slots):
+            false = (len(slots[x]) / language.SIZE) ** language.HASHES
+            right[x] = max(0.0, (sum(all(p in slots[x] for p in ps) for ps in at) - false * len(at)) / (1 - false))
+        if sum(right.values()):
+            best = max(sorted(right), key=lambda x: right[x])
+            assert told[r.doc_id].lang_pred == best and told[r.doc_id].score == pytest.approx(right[best] / sum(right.values()))
+
+
+def test_seventy_languages(spark):
+    """More languages than a word of the mask has bits, each with words of its own; one of them has no text."""
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{k:02d}": ["".join(rng.choice(letters, 7)) for _ in range(12)] for k in range(70)}
+    texts = [(i, " ".join(rng.choice(words[x], 15)), x) for i, x in enumerate([*words] * 6)]
+    df = spark.createDataFrame([*texts, (10_000, None, "none")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(df, language.learn(df)).collect()}
+    assert len({r.lang_pred for r in got.values()}) == 71 and all(got[i].lang_pred == x for i, _, x in texts)
+
+
+def test_statistics_brute_force():
+    """The statistics of texts, some of several batches' length, one by one in plain Python."""
+    texts = ["", "same same", "", "same", "Hello there, hello THERE!", "a b a b a b\n| x | y |\n\n12 12 $$$ !!", "é" * 20 + "\tq" * 3, "Words " * 50 + "\nWords Words\n" * 4, "w%d " * 5 % (1, 2, 3, 4, 5)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = quality.statistics(data, offs)
+    assert [quality.statistics(data[a:b], np.array([0, b - a])).tolist()[0] for a, b in zip(offs[:-1], offs[1:], strict=True)] == [pytest.approx(x.tolist(), abs=1e-5) for x in got]
+    for row, t in zip(got, texts, strict=True):
+        raw = t.encode()
+        share = [sum(quality._CLASS[c] == k for c in raw) / max(len(raw), 1) for k in range(quality.CLASSES)]
+        words, lines = re.findall(rb"[^\x20\x09-\x0d]+", raw), [x for x in raw.split(b"\n") if x]
+        low = [w.lower() for w in words]
+        per, per_line = max(len(words), 1), max(len(lines), 1)
+        group = lambda xs: [len(Counter(xs)), max(Counter(xs).values(), default=0), sum(n for n in Counter(xs).values() if n > 1)]
+        kind = lambda c: quality._CLASS[c]
+        want = [
+            *share, math.log1p(len(raw)), math.log1p(len(words)), len(lines), sum(map(len, words)) / per, sum(len(w) ** 2 for w in words) / per,
+            sum(len(w) <= 2 for w in words) / per, sum(len(w) >= 12 for w in words) / per, sum(a == b for a, b in zip(low, low[1:], strict=False)) / per,
+            sum(2 * sum(65 <= c <= 90 for c in w) > len(w) for w in words) / per, *(sum(kind(w[-1]) == k for w in words) / per for k in (11, 10, 5)),
+            *(sum(kind(w[0]) == k for w in words) / per for k in (1, 9, 2)), *(x / per for x in group(low)), *(x / per for x in group(list(zip(low, low[1:], strict=False)))),
+            *(x / per_line for x in group([x.lower() for x in lines])), sum(map(len, lines)) / per_line, len(words) / per_line, -sum(x * math.log(x) for x in share if x),
+        ]
+        assert len(want) == row.size
+        assert row.tolist() == pytest.approx(want, rel=1e-4, abs=1e-5), t
+
+
+def test_one_small_tree():
+    """One boosted stump, its cut and leaves against all cuts tried one by one."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3)).astype(np.float32)
+    y = (x[:, 1] > 0.2).astype(float)
+    trees = quality.train(x, y, trees=1, depth=1, bins=16)
+    p = 1 / (1 + math.exp(-trees.start))
+    best = []
+    for f in range(3):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1], method="lower")):
+            left = x[:, f] <= cut
+            n, g = left.sum(), (p - y)[left].sum()
+            h, total = n * p * (1 - p), (p - y).sum()
+            rest = (80 - n) * p * (1 - p)
+            if h >= 3 and rest >= 3:
+                best.append((g * g / (h + 1) + (total - g) ** 2 / (rest + 1), f, float(cut), -0.1 * g / (h + 1), -0.1 * (total - g) / (rest + 1)))
+    _, f, cut, low, high = max(best)
+    assert (trees.feature[0, 0], trees.cut[0, 0]) == (f, pytest.approx(cut)) and trees.leaf[0].tolist() == pytest.approx([low, high])
+
+
+def test_quality_sample_is_bounded(spark):
+    """Repeated labels and rows of an id teach once, so the sample has no more rows than it may."""
+    docs = rows(spark, [(i, f"text {i}") for i in (1, 2, 3) for _ in range(50)] + [(None, "x")])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3) for _ in range(20)] + [(None, 1), (2, None)], "doc_id long, quality int")
+    taught = []
+    before, quality.train = quality.train, lambda x, y, **k: taught.append(y.size) or before(x, y, **k)
+    try:
+        quality.fit(docs, labels, sample_rows=2)
+    finally:
+        quality.train = before
+    assert taught[0] <= 2
+
+
 def test_trees_match_a_plain_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 5)).astype(np.float32)
@@ -415,20 +519,51 @@ def test_ppm_cases(spark, cases, empty):
 
 
 def test_templates():
-    machine = licenses.Automaton([("t", "red {{2}} fox [[big cat]] runs"), ("u", "[[a]] b c")])
-    say = lambda s: machine.labels(s.encode().split())
+    machine = licenses.Automaton([("t", 1.0, "red {{2}} fox [[big cat]] runs"), ("u", 0.5, "[[a]] b c")])
+    say = lambda s: set(machine.found(s.encode().split()))
     assert say("x red fox runs") == {"t"} and say("red one two fox big cat runs") == {"t"}
     assert say("red one two three fox runs") == set() and say("red fox big runs") == set() and say("fox runs") == set()
-    assert say("b c") == {"u"} and say("a b c red fox runs") == {"t", "u"}
+    assert say("b c") == {"u"} and say("a b c red fox runs") == {"t", "u"} and machine.found([b"b", b"c"]) == {"u": 0.5}
+
+
+def test_anchors(spark):
+    """Anchors are words of the compiled states that no acceptance can do without, whatever the markup."""
+    of = lambda m: licenses.anchor(licenses.compile_template(m))
+    assert of("a [[b [[c]] extraordinary]] d") == b"d" and of("some Capital word") == b"capital" and of("[[all]] {{3}}") is None and of("x {{2}} yy x") == b"yy"
+    for markup, yes, no in [("a [[b [[c]] extraordinary]] d", ["a d", "a b extraordinary d", "A B C extraordinary, d"], ["a b d", "extraordinary"]), ("some Capital word", ["Some CAPITAL word"], ["some word"]), ("[[maybe]] {{1}}", ["maybe", "q"], [""])]:
+        got = {r.doc_id: r.labels for r in licenses.scan_licenses(rows(spark, list(enumerate(yes + no))), templates=[("t", 1.0, markup)]).collect()}
+        assert [got[k] for k in range(len(yes + no))] == ["t"] * len(yes) + [""] * len(no)
+
+
+def test_licenses_brute_force(spark):
+    """Texts made from the templates, whole or altered, against the templates as regular expressions."""
+    rng = np.random.default_rng(6)
+    texts, rules = [], [(label, score, re.compile(licenses.template_pattern(m))) for label, score, m in licenses.TEMPLATES]
+    for label, score, markup in licenses.TEMPLATES * 6:
+        words = []
+        for part in re.findall(licenses._PART, re.sub(r"\[\[.*?\]\]", lambda m: m.group()[2:-2] if rng.random() < 0.5 else " ", markup)):
+            words += [f"n{k}" for k in range(rng.integers(0, int(part[2:-2]) + 1))] if part.startswith("{{") else [part.title() if rng.random() < 0.2 else part]
+        if rng.random() < 0.4:
+            words[rng.integers(0, len(words))] = "altered"
+        texts.append(f"Copyright. {', '.join(words)}; mit licence")
+    got = {r.doc_id: r for r in licenses.scan_licenses(rows(spark, list(enumerate(texts)))).collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        norm = f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
+        want = {label: score for label, score, p in sorted(rules, key=lambda x: x[1]) if p.search(norm)}
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in norm}
+        assert (got[k].labels, got[k].score) == (",".join(sorted(want.keys() | base)), max([*want.values(), 0.5 * bool(base)]))
+        seen |= set(want.items())
+    assert {x for x, _ in seen} == {x for x, *_ in licenses.TEMPLATES} and {x for x, score in seen if score == 1.0} == {x for x, score, _ in licenses.TEMPLATES if score == 1.0}
 
 
 def test_licenses(spark, empty):
     texts = [(1, "Released under the MIT License."), (2, "mit, license apache-license; General public\nlicense"), (3, "MITLicense mit x license"), (4, None), (5, "Licensed under the Apache License, Version 2.0 Émit license"), (6, "mit license mit license")]
     got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(rows(spark, texts)).collect()}
-    assert got[1] == (5, 1, 3, 3, "mit", "mit", 1.0)
-    assert got[2] == (7, 3, 0, 4, "apache,gpl,mit", "apache,gpl,mit", 0.5)
+    assert got[1] == (5, 1, 3, 3, "mit", "mit", licenses.NOTICE)
+    assert got[2] == (7, 3, 0, 4, "apache,gpl,mit", "apache,gpl,mit", licenses.PHRASE)
     assert got[3] == (4, 0, None, None, "", "", 0.0) and got[4] == (0, 0, None, None, "", "", 0.0)
-    assert got[5] == (10, 1, 3, 3, "apache", "apache,apache-2.0", 1.0) and got[6][1:4] == (2, 0, 2)
+    assert got[5] == (10, 1, 3, 3, "apache", "apache,apache-2.0", licenses.NOTICE) and got[6][1:4] == (2, 0, 2)
     assert licenses.scan_licenses(empty).count() == 0
 
 
