@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Counted as part of the subpackage orrery.llm. Rows with a null id pass through unless the quality classifier or
-decontamination rejects their text; repeated rows share their fate; an empty table gives no rows.
+Counted as part of the subpackage orrery.llm. Every stage takes (spark, docs, sf_dir) and keeps whole rows: all columns
+that docs has, whatever their names. An empty table gives no rows. What becomes of nulls, empty texts and repeated rows
+is said at each stage.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, table
+from orrery.llm.common import leave_notes, materialize, notes_of, placed, table
 from orrery.llm.decontamination import remove_leaks
 from orrery.llm.exact_dedup import duplicate_groups
 from orrery.llm.mixing import mix_sources
@@ -17,43 +18,45 @@ from orrery.llm.near_dedup import near_duplicates
 from orrery.llm.quality import fit, keep_good
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the given ids: only the ids of dropped rows are joined, which are fewer than the rows."""
-    return docs.join(ids.select(F.col("doc_id").alias("dropped")), F.col("doc_id") == F.col("dropped"), "left_anti")
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows whose id found does not keep in any row: ids alone are joined, and the outcome returns to the rows as notes."""
+    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("kept")).where("not kept")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = placed(docs.toDF(*names))
+    key = F.col(names[docs.columns.index("doc_id")]).cast("long")
+    noted = notes_of(leave_notes(at.join(gone, key == F.col("gone")).select("file_at", "row_at", F.col("gone").alias("note")), "gone"))
+    return at.where(noted("file_at", "row_at").isNull()).select(*names).toDF(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.3 or more stay."""
-    docs = _documents(docs)
+    """Documents that the classifier scores at 0.3 or more stay. Null texts score as empty ones; null ids play no part."""
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays, then the smallest id."""
-    docs = _documents(docs)
-    gone = materialize(duplicate_groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return _drop(docs, gone)
+    """Of equal texts the longest original stays, then the smallest id.
+
+    Null and empty texts are equal. Rows with a null id stay. Rows that share an id go only if all of them would."""
+    return _without(docs, duplicate_groups(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles of five words and a similarity of 0.8 the smallest id stays."""
-    docs = _documents(docs)
-    gone = materialize(near_duplicates(docs, width=5).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return _drop(docs, gone)
+    """Of each group linked by shingles of five words and a similarity of 0.8 the smallest id stays.
+
+    Null and empty texts and rows with a null id are linked with nothing and stay. Rows that share an id go only if all of them would."""
+    return _without(docs, near_duplicates(docs, width=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
-    return remove_leaks(_documents(docs), table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item's question and answer go. Null and empty texts hold none and stay, ids play no part."""
+    return remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed by the square root of their size; documents repeat, and copies are shuffled."""
-    return mix_sources(_documents(docs))
+    """Sources are mixed by the square root of their size; documents repeat, and copies are shuffled.
+
+    A null source is one of its own; rows with the same id and source are drawn alike, a null id as an empty one."""
+    return mix_sources(docs)
 
 
 STAGES = [
