@@ -676,3 +676,46 @@ def test_pipeline(spark):
             items = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
             assert kept[name] == {i for i, t in before.items() if not any(x in t for x in items)}
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} <= kept["decontamination"]
+
+
+def test_pipeline_cases(spark, empty):
+    """Every stage on nulls, empty texts, shared ids, clashing and extra columns, and an empty table."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    words = " ".join(f"w{k}" for k in range(40))
+    texts = [(1, None), (2, ""), (None, "one two"), (3, "one  two"), (4, "one two three four"), (5, words), (6, words + " end"), (7, words.upper()), (8, f"So: {item} Yes."), (9, "Other."), (9, "one two"), (None, None), (11, "word " * 400_000)]
+    docs = rows(spark, texts).withColumn("file_at", F.lit("x")).withColumn("kept", F.lit("y"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        out = stage(spark, docs, DIR)
+        assert set(docs.columns) <= set(out.columns) and stage(spark, docs.limit(0), DIR).count() == 0
+        ids = [r.doc_id for r in out.select("doc_id", "file_at", "kept").collect() if r.file_at == "x" and r.kept == "y"]
+        if name == "exact_dedup":  # 1 and 2 are equal, 3 is the longest of its texts, one row of 9 is another text
+            assert sorted(map(str, ids)) == sorted(map(str, [1, None, 3, 4, 5, 6, 7, 8, 9, 9, None, 11]))
+        if name == "near_dedup":
+            assert sorted(map(str, ids)) == sorted(map(str, [1, 2, None, 3, 4, 5, 8, 9, 9, None, 11]))
+        if name == "decontamination":
+            assert sorted(map(str, ids)) == sorted(str(i) for i, _ in texts if i != 8)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the bytes that the kernels handle at once, and chunks and senders that end within a task."""
+    rng = np.random.default_rng(9)
+    vocab = [f"v{k}" for k in range(5000)]
+    long = [" ".join(rng.choice(vocab, 300_000)) for _ in range(2)]  # of more than common.SLICE_BYTES
+    texts = [(1, long[0]), (2, "  " + long[0]), (3, long[0] + " one more"), (4, long[1]), (5, "short"), (6, None)]
+    assert len(long[0]) > common.SLICE_BYTES
+    df = rows(spark, texts).coalesce(1)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width=2).collect()}
+    assert near == brute_components([(i, t) for i, t in texts], 2)
+    assert {r.doc_id: r.keep_id for r in exact_dedup.duplicate_groups(df).collect()} == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
+    some = [(i, t and t[:60_000]) for i, t in texts]
+    want = {r[0]: r[5] for r in brute_ppm(some, ppm.ORDER)}
+    assert {r.doc_id: r.score for r in ppm.score_texts(rows(spark, some).coalesce(1), chunk_bytes=50_000).collect()} == pytest.approx(want, rel=1e-9)
+    found = {r.doc_id: r for r in licenses.scan_licenses(rows(spark, [(1, long[0] + " mit license")])).collect()}
+    assert found[1].n_words == 300_002 and found[1].first_word == 300_000
+    bench = spark.createDataFrame([(1, "which of these is the last one? the very last.")], "item_id long, text string")
+    leaks = decontamination.find_leaks(rows(spark, [(1, long[0] + " Which of these is the last one? The very last. " + long[1])]), bench).collect()
+    assert [r.item_id for r in leaks] == [1]
+    assert line_dedup.repeated_units(rows(spark, [(1, long[0]), (2, "x. " + long[0])])).where("n_removed > 0").first().kept_chars == 2
