@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -56,9 +58,25 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of text that reach a Python task at once while a table is written.
+BATCH_BYTES = 16 << 20
 
 
-def materialize(df: DataFrame, tag: str, batch_bytes: int | None = None) -> DataFrame:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives its free memory back at the end of a task: workers live on, and executors have little to spare."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not with every C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def materialize(df: DataFrame, tag: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors.
 
     batch_bytes bounds the Arrow batches that Python tasks get meanwhile."""
@@ -66,12 +84,10 @@ def materialize(df: DataFrame, tag: str, batch_bytes: int | None = None) -> Data
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH, None)
     try:
-        if batch_bytes:
-            spark.conf.set(_BATCH, str(batch_bytes))
+        spark.conf.set(_BATCH, str(batch_bytes))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if batch_bytes:
-            spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
+        spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, materialize, mix64, shared_folder, store, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import _LOWER, materialize, mix64, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a window is verified, and shares of its shingles that must be there.
@@ -208,7 +208,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(benchmark: DataFrame, item_col: str, text_col: str, shard_postings: int = SHARD_POSTINGS) -> tuple[str, list[str]]:
     """The shared folder and the names in it of the shards of an index of the items; those without words can't be found and are left out."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
-    items = materialize(items.mapInArrow(_terms, "i long, t string, terms array<long>, length long").where("length > 0"), "items")
+    items = materialize(items.mapInArrow(tidy(_terms), "i long, t string, terms array<long>, length long").where("length > 0"), "items")
     sums = items.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest"), F.sum(F.size("terms")).alias("postings")).first()
     folder = shared_folder(benchmark.sparkSession, "index")
     if not sums.n:
@@ -277,7 +277,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 items = pa.array([x[1].id for x in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([x[k] for x in hits], pa.float64()) for k in (2, 3, 4, 5))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"])
 
-    return source.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, item_overlap double")
+    return source.mapInArrow(tidy(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, item_overlap double")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -296,7 +296,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             keep[[x[0] for x in shards.found(batch.column(position), threshold, overlap)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import leave_notes, materialize, notes_of, placed, table
+from orrery.llm.common import leave_notes, materialize, notes_of, placed, table, tidy
 
 #: Bits of a fingerprint: with 3e10 texts one in 10,000 is suspected by chance, which verification settles.
 BITS = 48
@@ -139,10 +139,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sha = F.unhex(F.sha2("norm", 256)).alias("sha")
     owners = max(8, -(-docs.count() // OWNER_ROWS))
     hashed = source.select("id", "file_at", "row_at", normalised(F.col("text")).alias("norm")).select("id", "file_at", "row_at", sha)
-    sent = materialize(hashed.mapInArrow(_send(owners, bits), _SENT), "sent")
+    sent = materialize(hashed.mapInArrow(tidy(_send(owners, bits)), _SENT), "sent")
     answers = sent.select("chunk", "owner", "n", "k", "code", "local").groupBy("owner").applyInArrow(_answer, "chunk long, owner long, marks binary")
     marked = sent.select("chunk", "owner", "docs").join(answers, ["chunk", "owner"]).select("docs", "marks")
-    marked = materialize(marked.mapInArrow(_marked, "id long, file_at long, row_at long, sha binary, suspect boolean"), "marked")
+    marked = materialize(marked.mapInArrow(tidy(_marked), "id long, file_at long, row_at long, sha binary, suspect boolean"), "marked")
     noted = notes_of(leave_notes(marked.where("suspect").select("file_at", "row_at", F.lit(1).cast("long").alias("note")), "suspects"))
     # Byte verification: suspects travel as text and meet only those of the same bytes.
     suspects = source.withColumn("note", noted("file_at", "row_at")).where("note is not null").select("id", F.length("text").cast("long").alias("chars"), normalised(F.col("text")).alias("norm"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import held_out, materialize, mix64, table, text_slices
+from orrery.llm.common import held_out, materialize, mix64, table, text_slices, tidy
 
 #: Rows per language that are learnt from on average at most; n-grams kept per language; least share of the strongest language's frequency.
 SAMPLE_ROWS, TOP_GRAMS, RATIO = 3000, 8000, 0.25
@@ -114,7 +114,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Filter.build({}, {})
     share = F.element_at(F.create_map(*[x for k, n in sorted(rows.items()) for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))]), F.col("lang"))
     chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
-    counts = chosen.mapInArrow(_counted, "lang string, code long, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(tidy(_counted), "lang string, code long, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "grams")
     sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sums:
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, object), *langs]), pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

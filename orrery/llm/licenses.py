@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table, text_slices, word_spans
+from orrery.llm.common import table, text_slices, tidy, word_spans
 from orrery.llm.decontamination import _GAP
 
 WHOLE, NOTICE, PHRASE = 1.0, 0.8, 0.5
@@ -207,7 +207,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = scan_texts(batch.column(1), machine, phrases)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True))], names=["doc_id", *kinds])
 
-    return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return source.mapInArrow(tidy(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

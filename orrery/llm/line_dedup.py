@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, meet, table
+from orrery.llm.common import materialize, meet, table, tidy
 
 #: Words that a run of repeated units must have together to go: shorter ones recur by chance, or as a title or a mark of a source. 1: all repeats go.
 RUN_WORDS = 16
 #: No unit reaches over the start of a line, so equal lines have equal units whatever stands before them.
 UNITS = {"sentence": r"[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+", "line": r"[^\n]*\n+|[^\n]+", "paragraph": r"(?s:.+?)(?:\n[ \t]*\n\s*|\Z)"}
-#: Bytes of text that reach a Python task at once.
-BATCH_BYTES = 16 << 20
 _SCHEMA = "doc_id long, row long, n_units long, n_chars long, starts array<int>, ends array<int>, words array<int>, again array<boolean>, d1 array<long>, d2 array<long>"
 
 
@@ -93,7 +91,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    cut = materialize(source.mapInArrow(_cut(unit), _SCHEMA), "units", BATCH_BYTES)
+    cut = materialize(source.mapInArrow(tidy(_cut(unit)), _SCHEMA), "units")
     each = cut.where("doc_id is not null").select("doc_id", "row", F.posexplode(F.arrays_zip("again", "d1", "d2")).alias("at", "u")).select("doc_id", "row", "at", "u.*")
     first = each.where("not again").groupBy("d1", "d2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.count("*").alias("m")).where("keeper <> other")
     first = materialize(first.select("d1", "d2", "keeper", "m"), "keepers")
@@ -101,7 +99,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = meet(each.where("not again").drop("again"), first, ["d1", "d2"], units).where("doc_id <> keeper").select("doc_id", "row", "at")
     hits = later.union(each.where("again").select("doc_id", "row", "at")).groupBy("doc_id", "row").agg(F.collect_set("at").alias("hits"))
     out = cut.select("doc_id", "row", "n_units", "n_chars", "starts", "ends", "words").join(hits, ["doc_id", "row"], "left")
-    return out.mapInArrow(_runs(run_words), "doc_id long, row long, n_units long, n_removed long, kept_chars long, removed array<struct<start:int,end:int>>")
+    return out.mapInArrow(tidy(_runs(run_words)), "doc_id long, row long, n_units long, n_removed long, kept_chars long, removed array<struct<start:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", run_words: int = RUN_WORDS) -> DataFrame:

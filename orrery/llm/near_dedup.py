@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Notes, leave_notes, materialize, meet, mix64, placed, shingle_sets, table, text_slices
+from orrery.llm.common import Notes, leave_notes, materialize, meet, mix64, placed, shingle_sets, table, text_slices, tidy
 
 #: Bands x rows: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document whose links are united. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     source = placed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
-    signed = source.mapInArrow(_signed(width, bands, rows), "id long, file_at long, row_at long, n long, class_key binary, bands array<long>")
+    signed = source.mapInArrow(tidy(_signed(width, bands, rows)), "id long, file_at long, row_at long, n long, class_key binary, bands array<long>")
     signed = materialize(signed, "signed")
     named = signed.where("id is not null and class_key is not null")
     # One node for each distinct set, with the place of a row that has it.
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only candidates' texts are cut into sets again, each by the task that scans it; a node has several sets if rows share its id.
     wanted = members.select("node").distinct().join(classes, "node").select("file_at", "row_at", F.col("node").alias("note"))
     folder = leave_notes(wanted, "wanted")
-    sets = source.select("text", "file_at", "row_at").mapInArrow(_sets(width, folder), "node long, n long, shingles binary")
+    sets = source.select("text", "file_at", "row_at").mapInArrow(tidy(_sets(width, folder)), "node long, n long, shingles binary")
     sets = materialize(sets, "sets")
     # A hub's set is copied for each HUB_ROWS of its members, so that a large group is many tasks' work.
     salts = F.ceil(F.col("m") / HUB_ROWS)
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set")), "b")
     sides = sides.join(hubs, ["b", "salt"])
     sides = sides.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    links = materialize(sides.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    links = materialize(sides.select("a", "b", "a_set", "b_set").mapInArrow(tidy(_confirm(percent)), "a long, b long"), "links")
     found = components(links)
     # What is left: members of a group outside its hub's component, against the whole group.
     part = members.join(found.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, held_out, materialize, shared_folder, store, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import _LOWER, held_out, materialize, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
 
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
@@ -349,7 +349,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held"), F.col(text_col).cast("string").alias("text"))
     n_train = source.where("not held").count()
     folder = shared_folder(docs.sparkSession, "texts")
-    chunks = materialize(source.mapInArrow(_chunked(order, chunk_bytes, folder), _CHUNKS), "chunks", BATCH_BYTES)
+    chunks = materialize(source.mapInArrow(tidy(_chunked(order, chunk_bytes, folder)), _CHUNKS), "chunks", BATCH_BYTES)
     words = chunks.where("wh is not null").select("chunk", "wh", "slot", "n")
     # A word that one chunk alone has is counted there; the others meet by their hashes, one row for each chunk.
     over = Window.partitionBy("wh")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import held_out, table, text_slices, word_hashes, word_spans
+from orrery.llm.common import held_out, table, text_slices, tidy, word_hashes, word_spans
 
 #: Labelled rows that the trees learn from at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = usable.where(~held_out("id", folds) & F.col("label").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.join(F.broadcast(sample), "id").select("text", "id", "label").mapInArrow(_features, "id long, label double, x array<double>")
+    rows = source.join(F.broadcast(sample), "id").select("text", "id", "label").mapInArrow(tidy(_features), "id long, label double, x array<double>")
     # One row for each id, sorted on the driver: the same trees whatever the partitions.
     got = rows.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.label", "r.x").toArrow().sort_by("id")
     y = got["label"].to_numpy()
@@ -207,7 +207,7 @@ def score_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_co
             s = _scored(shared, threshold, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +221,7 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array(_scored(shared, threshold, batch.column(position)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Notes, leave_notes, materialize, placed, shared_dir, store, table
+from orrery.llm.common import Notes, leave_notes, materialize, placed, shared_dir, store, table, tidy
 
 MAGIC = 0x184D2A5D
 #: Payload bytes of one archive, of what a dictionary is built from, and of the dictionary; shortest payload that is revisited.
@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
         if held:
             yield flush()
 
-    manifest = source.mapInArrow(run, "path string, records long, bytes long")
+    manifest = source.mapInArrow(tidy(run), "path string, records long, bytes long")
     return materialize(manifest.select(F.lit(folder).alias("folder"), "path", "records", "bytes"), "manifest")
 
 
@@ -177,7 +177,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     # A stated number, as the manifest's rows are so small that adaptive execution would put all of them into one task.
     tasks = max(1, min(manifest.count(), READ_TASKS))
-    return manifest.repartition(tasks, "path").select("folder", "path").mapInArrow(run, schema)
+    return manifest.repartition(tasks, "path").select("folder", "path").mapInArrow(tidy(run), schema)
 
 
 def _batch(rows: list[dict], columns: list[str]) -> pa.RecordBatch:
