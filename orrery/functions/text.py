@@ -92,7 +92,20 @@ def text_query(toks: Column, query: str) -> Column:
     return out
 
 
+#: Marks that join the chunk before them, and marks that join those on both sides.
+LEFT_MARKS, BOTH_MARKS = ".,!?:;)]}", "-/"
+
+
 def glue(col: Column) -> Column:
-    """Chunks back to a phrase: no blank before closing marks or after opening ones."""
-    joined = F.array_join(col, " ")
-    return F.regexp_replace(F.regexp_replace(joined, r" ([.,;:!?%)\]}])", "$1"), r"([(\[{]) ", "$1")
+    """Chunks back to a phrase: no blank before closing marks, and none on either side of a hyphen or slash.
+
+    A mark that follows a hyphen or slash is taken as its right side; one that begins a phrase stands alone."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("glued"))
+
+    def add(acc: Column, chunk: Column) -> Column:
+        left, both = chunk.isin(*LEFT_MARKS), chunk.isin(*BOTH_MARKS)
+        joins = acc["glued"] | ((left | both) & (acc["text"] != ""))
+        text = F.when(joins | (acc["text"] == ""), F.concat(acc["text"], chunk)).otherwise(F.concat(acc["text"], F.lit(" "), chunk))
+        return F.struct(text.alias("text"), (both & ~acc["glued"] & (acc["text"] != "")).alias("glued"))
+
+    return F.aggregate(col, start, add, lambda acc: acc["text"])

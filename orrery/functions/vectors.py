@@ -61,8 +61,8 @@ def checked(a: Column, dimensions: int) -> Column:
 
 
 def similarity_of(metric: str, dist: Column) -> Column:
-    """Distance to similarity: 1 - d for cosine, -d for dot, 1 / (1 + d) for euclid."""
-    return {"cosine": 1 - dist, "dot": -dist, "euclid": 1 / (1 + dist)}[metric]
+    """Distance to similarity: 1 - d for cosine, -d for dot, 1 / max(d, 1e-8) for euclid."""
+    return {"cosine": 1 - dist, "dot": -dist, "euclid": 1 / F.greatest(dist, F.lit(1e-8))}[metric]
 
 
 def soft_extreme(values: Column, beta: float) -> Column:

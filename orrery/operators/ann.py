@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,3 +49,21 @@ def search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], k:
     """The k nearest parts of the probes nearest cells, with exact distances."""
     cells = np.argsort(((centres - np.asarray(query)) ** 2).sum(1))[:probes].tolist()
     return assigned.where(F.col("cell").isin(cells)).select("part_id", distance(metric, as_vector("vector"), literal(query)).alias("distance")).orderBy("distance", "part_id").limit(k)
+
+
+def batch_search(assigned: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = PROBES, metric: str = "cosine") -> DataFrame:
+    """query_id, part_id, distance, rank: for each row of queries (query_id, vector), a bounded set, the k nearest parts of
+    its probes nearest cells. Each task that scans parts meets the queries that want its cells."""
+    from pyspark.sql import Window
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, centres.shape[1]))
+        d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]
+        return pd.Series(list(np.argsort(d, axis=1)[:, :probes].astype(np.int32)))
+
+    asked = queries.select("query_id", as_vector("vector").alias("q")).withColumn("cell", F.explode(near("q")))
+    pairs = assigned.select("part_id", "cell", as_vector("vector").alias("v")).join(F.broadcast(asked), "cell")
+    found = pairs.select("query_id", "part_id", distance(metric, F.col("v"), F.col("q")).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "part_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -79,6 +79,12 @@ def release_batch(batches: DataFrame, release_id: str, new_batch_id: str, now: i
     return kept.unionByName(opened)
 
 
+def set_batch_status(batches: DataFrame, batch_id: str, status: str) -> DataFrame:
+    if status not in BATCH_STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    return batches.withColumn("status", F.when(F.col("batch_id") == batch_id, status).otherwise(F.col("status")))
+
+
 def improvement_queue(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Sessions that are irrelevant or have events; payload searches have no vector and stay out."""
     have = events.select("session_id").distinct().withColumn("_e", F.lit(True))

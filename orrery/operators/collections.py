@@ -18,6 +18,22 @@ def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def insert(table: DataFrame, new: DataFrame) -> DataFrame:
+    """table and the rows of new; columns that one lacks are null there. Keys are not looked at: upsert does that."""
+    return table.unionByName(new, allowMissingColumns=True)
+
+
+def capture_queries(objects: DataFrame, parts: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """objects and parts of a query collection with those of sessions (session_id, search_query, vector, user_id), each one
+    object with one part; a session that is there already is left as it is, one without a vector is left out."""
+    new = sessions.where(F.col("vector").isNotNull()).join(objects.select("session_id"), "session_id", "left_anti")
+    key = F.concat_ws(":", F.lit("query"), F.col("session_id").cast("string"))
+    payload = F.to_json(F.struct("search_query"))
+    rows = new.select(key.alias("object_id"), payload.alias("payload"), "session_id", "user_id")
+    own = new.select(F.concat_ws(":", key, F.lit("0")).alias("part_id"), key.alias("object_id"), "vector", F.lit(False).alias("is_average"), "user_id")
+    return insert(objects, rows), insert(parts, own)
+
+
 def upsert_parts(parts: DataFrame, new: DataFrame) -> DataFrame:
     """All parts of the objects in new are replaced, so an object may also shrink."""
     return parts.join(new.select("object_id").distinct(), "object_id", "left_anti").unionByName(new, allowMissingColumns=True)

@@ -29,20 +29,29 @@ def remove_results(rows: DataFrame, failed: DataFrame, least: int = 2) -> DataFr
     return left.join(enough.select("session_id"), "session_id", "left_semi")
 
 
+def unit_confidences(rows: DataFrame) -> DataFrame:
+    """Confidence 1 for every result, for clicks that are all trusted."""
+    return rows.withColumn("confidence", F.lit(1.0))
+
+
 def confidences(rows: DataFrame, window: int = 3) -> DataFrame:
-    """Windowed click confidence: click share around a result, likeness of its rank to its neighbours', and decay by
-    position, scaled to 0..1 within the session (0 where all are equal)."""
+    """Windowed click confidence, scaled to 0..1 within the session.
+
+    Within the frame of window results around one, share is that of the clicked, and s the distance of its rank to the
+    frame's mean over that mean. A clicked result has (1 - s) * share + (1 - share) * s, another (1 - share) * (1 - s)
+    + share * s; both fade with the position."""
     half = window // 2
     by = Window.partitionBy("session_id")
     frame = by.orderBy("position").rowsBetween(-half, half)
     i = F.row_number().over(by.orderBy("position")) - 1
     n = F.count("*").over(by)
-    mean = F.avg("rank").over(frame)
+    mean = F.avg("rank").over(frame) + 1e-9
     share = F.avg(F.col("clicked").cast("double")).over(frame)
-    raw = share * (1 - F.abs(F.col("rank") - mean)) * (F.exp(-3 * (i + 1) / n - 0.3) + 0.25)
-    out = rows.withColumn("_raw", raw)
+    s = F.abs(F.col("rank") - mean) / mean
+    fit = F.when(F.col("clicked") == 1, (1 - s) * share + (1 - share) * s).otherwise((1 - share) * (1 - s) + share * s)
+    out = rows.withColumn("_raw", fit * (F.exp(-3 * (i + 1) / n - 0.3) + 0.25))
     low, high = F.min("_raw").over(by), F.max("_raw").over(by)
-    return out.withColumn("confidence", F.when(high > low, (F.col("_raw") - low) / (high - low)).otherwise(0.0)).drop("_raw")
+    return out.withColumn("confidence", (F.col("_raw") - low) / (high - low + 1e-9)).drop("_raw")
 
 
 def group_ranks(rows: DataFrame, how: str = "max", empty: float = 0.0) -> DataFrame:
@@ -77,8 +86,9 @@ def pair_filter(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return pairs.where((d > low) & (d < high))
 
 
-def paired_inputs(rows: DataFrame) -> DataFrame:
-    """Positives and negatives of a session in pairs, the shorter list repeated: session_id, positive, negative (ids)."""
+def positives_and_negatives(rows: DataFrame, is_similarity: bool = True) -> DataFrame:
+    """Clicked and other results of a session in pairs, the shorter list repeated: session_id, k, positive, negative (ids),
+    target: 1 where a larger rank is better, -1 for distances."""
     order = Window.partitionBy("session_id", "clicked").orderBy("position", "id")
     numbered = rows.select("session_id", "id", "clicked", (F.row_number().over(order) - 1).alias("r"), F.count("*").over(Window.partitionBy("session_id", "clicked")).alias("n"))
     pos = numbered.where("clicked = 1").select("session_id", F.col("id").alias("positive"), F.col("r").alias("pr"), F.col("n").alias("pn"))
@@ -86,7 +96,40 @@ def paired_inputs(rows: DataFrame) -> DataFrame:
     sizes = pos.groupBy("session_id").agg(F.first("pn").alias("pn")).join(neg.groupBy("session_id").agg(F.first("nn").alias("nn")), "session_id")
     slots = sizes.select("session_id", "pn", "nn", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("pn", "nn") - 1)).alias("k"))
     slots = slots.withColumn("pr", F.col("k") % F.col("pn")).withColumn("nr", F.col("k") % F.col("nn"))
-    return slots.join(pos.select("session_id", "pr", "positive"), ["session_id", "pr"]).join(neg.select("session_id", "nr", "negative"), ["session_id", "nr"]).select("session_id", "k", "positive", "negative")
+    both = slots.join(pos.select("session_id", "pr", "positive"), ["session_id", "pr"]).join(neg.select("session_id", "nr", "negative"), ["session_id", "nr"])
+    return both.select("session_id", "k", "positive", "negative", F.lit(1 if is_similarity else -1).alias("target"))
+
+
+def _shuffled(sessions: DataFrame, key: str) -> DataFrame:
+    """(session_id, r): numbers from 0 in the order of an md5 of key and session; no task holds all sessions."""
+    got = sessions.select("session_id", F.md5(F.concat(F.lit(key), F.col("session_id").cast("string"))).alias("_key")).withColumn("_range", F.substring("_key", 1, 3))
+    ranges = got.groupBy("_range").agg(F.count("*").alias("n"))  # 4,096 rows at most
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "session_id")) - 1
+    return got.withColumn("_place", place).join(F.broadcast(ranges.select("_range", before.alias("_before"))), "_range").select("session_id", (F.col("_before") + F.col("_place")).alias("r"))
+
+
+def paired_inputs(rows: DataFrame, limit: int = -1, seed: str = "p") -> DataFrame:
+    """(k, relevant, irrelevant): whole sessions with and without a click in pairs, both shuffled by seed, the shorter list
+    repeated, limit pairs at most (-1: all). Without irrelevant sessions that side is null; without relevant ones there is no pair."""
+    kinds = irrelevant_sessions(rows)
+    sides = [_shuffled(kinds.where(F.col("is_irrelevant") == bad), f"{seed}:{name}:") for bad, name in ((False, "relevant"), (True, "irrelevant"))]
+    sizes = kinds.groupBy("is_irrelevant").agg(F.count("*").alias("n")).collect()
+    n = {r.is_irrelevant: r.n for r in sizes}
+    relevant, irrelevant = (s.select(F.col("r").alias(f"_{name}"), F.col("session_id").alias(name)) for s, name in zip(sides, ("relevant", "irrelevant"), strict=True))
+    pairs = max(n.values(), default=0) if n.get(False) else 0
+    if limit > 0:
+        pairs = min(pairs, limit)
+    slots = rows.sparkSession.range(pairs).select(F.col("id").alias("k"), (F.col("id") % n.get(False, 1)).alias("_relevant"), (F.col("id") % n.get(True, 1)).alias("_irrelevant"))
+    return slots.join(relevant, "_relevant").join(irrelevant, "_irrelevant", "left").select("k", "relevant", "irrelevant")
+
+
+def concat_features(*features: DataFrame) -> DataFrame:
+    """All rows of all; a feature that one lacks is null there."""
+    out = features[0]
+    for more in features[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def train_test_split(rows: DataFrame, test_share: float = 0.2, seed: str = "t", overlap: float = 0.5, top_up: bool = True) -> DataFrame:
@@ -111,16 +154,27 @@ def train_test_split(rows: DataFrame, test_share: float = 0.2, seed: str = "t",
     return out.select("session_id", "share", F.when(F.col("_place") <= F.col("_wanted"), "test").otherwise(F.col("split")).alias("split"))
 
 
-def margin_loss(df: DataFrame, margin: float = 1.0) -> DataFrame:
-    """Mean of min(confidences) / (1 + exp(target * difference - margin)) over pairs with difference = positive - negative rank."""
-    d = F.col("target") * (F.col("positive_rank") - F.col("negative_rank"))
-    return df.agg(F.avg(F.least("positive_confidence", "negative_confidence") / (1 + F.exp(d - margin))).alias("loss"))
+def _pair_loss(df: DataFrame, margin: float, adjust, small_difference: bool) -> DataFrame:
+    if margin <= 0:
+        raise ValueError("a margin is positive")
+    d = F.col("positive_rank") - F.col("negative_rank")
+    loss = F.avg(F.least("positive_confidence", "negative_confidence") / (1 + F.exp(adjust(-F.col("target") * d + margin))))
+    if small_difference:
+        w = soft_indicator(d, margin, int(1 / margin * 100))
+        loss = loss + F.sum(F.abs(d) * w) / (F.sum(w) + 1e-10)
+    return df.agg(loss.alias("loss"))
+
 
+def margin_loss(df: DataFrame, margin: float = 1.0, small_difference: bool = False) -> DataFrame:
+    """Mean of min(confidences) / (1 + exp(-x)) over pairs, x = margin - target * (positive rank - negative rank).
 
-def cosine_margin_loss(df: DataFrame) -> DataFrame:
-    """As margin_loss with the adjustment -400 x + 6 of the signed difference."""
-    x = F.col("target") * (F.col("positive_rank") - F.col("negative_rank"))
-    return df.agg(F.avg(F.least("positive_confidence", "negative_confidence") / (1 + F.exp(-(-400 * x + 6)))).alias("loss"))
+    small_difference adds the soft mean of the differences below the margin."""
+    return _pair_loss(df, margin, lambda x: -x, small_difference)
+
+
+def cosine_margin_loss(df: DataFrame, margin: float = 1.0, small_difference: bool = False) -> DataFrame:
+    """As margin_loss with exp(-400 x + 6) in place of exp(-x)."""
+    return _pair_loss(df, margin, lambda x: -400 * x + 6, small_difference)
 
 
 def soft_indicator(x: Column, threshold: float, scale: float) -> Column:
@@ -132,12 +186,19 @@ def soft_small_mean(df: DataFrame, value: str, threshold: float, scale: float) -
     return df.agg((F.sum(F.abs(value) * w) / (F.sum(w) + 1e-10)).alias("mean"))
 
 
-def distance_shift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Mean of target * (new rank - old rank) per session; the sign turns for irrelevant sessions."""
+def distance_shifts(old: DataFrame, new: DataFrame, is_similarity: bool = True) -> DataFrame:
+    """(session_id, is_irrelevant, shift): of a session with clicks the mean over the clicked of new - old rank, of one
+    without the mean over all of old - new; both turned for distances, so that a larger shift is better."""
     joined = old.join(new.select("session_id", "id", F.col("rank").alias("new_rank")), ["session_id", "id"])
-    target = F.when(F.col("clicked") == 1, 1.0).otherwise(-1.0)
-    s = joined.groupBy("session_id").agg(F.avg(target * (F.col("new_rank") - F.col("rank"))).alias("m"), F.sum("clicked").alias("c"))
-    return s.select("session_id", F.when(F.col("c") == 0, -F.col("m")).otherwise(F.col("m")).alias("shift"))
+    gain = (F.col("new_rank") - F.col("rank")) * (1.0 if is_similarity else -1.0)
+    got = joined.groupBy("session_id").agg((F.max("clicked") == 0).alias("is_irrelevant"), F.avg(F.when(F.col("clicked") == 1, gain)).alias("c"), F.avg(gain).alias("a"))
+    return got.select("session_id", "is_irrelevant", F.when(F.col("is_irrelevant"), -F.col("a")).otherwise(F.col("c")).alias("shift"))
+
+
+def distance_shift(old: DataFrame, new: DataFrame, is_similarity: bool = True) -> DataFrame:
+    """One row: not_irrelevant_dist_shift and irrelevant_dist_shift, the means over sessions of either kind, 0 without any."""
+    mean = lambda bad: F.coalesce(F.avg(F.when(F.col("is_irrelevant") == bad, F.col("shift"))), F.lit(0.0))
+    return distance_shifts(old, new, is_similarity).agg(mean(False).alias("not_irrelevant_dist_shift"), mean(True).alias("irrelevant_dist_shift"))
 
 
 def running_metrics(df: DataFrame, value: str, order: list[str], by: list[str], window: int = 10) -> DataFrame:
@@ -153,7 +214,8 @@ def top_parameters(runs: DataFrame, metric: str, n: int, is_loss: bool) -> DataF
 
 
 def parameters_id(params: dict[str, Column]) -> Column:
-    return F.sha2(F.concat_ws(";", *[F.concat_ws("=", F.lit(k), params[k].cast("string")) for k in sorted(params)]), 256)
+    """sha256 of `name: value` pieces in order of names, joined by ` / `."""
+    return F.sha2(F.concat_ws(" / ", *[F.concat_ws(": ", F.lit(k), params[k].cast("string")) for k in sorted(params)]), 256)
 
 
 def item_ranks(queries: DataFrame, items: DataFrame, how: str = "max") -> DataFrame:

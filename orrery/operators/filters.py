@@ -94,11 +94,11 @@ def _leaf(kind: str, spec: dict, payload: Column) -> Column:
         tests = {"gte": lambda x: n >= x, "lte": lambda x: n <= x, "gt": lambda x: n > x, "lt": lambda x: n < x, "eq": lambda x: n == x}
         found = [tests[k](F.lit(float(x))) for k, x in bounds.items() if x is not None]
         return reduce(lambda a, b: a & b, found) if found else F.lit(True)
-    raise ValueError(f"unknown filter kind {kind!r}")
+    return F.lit(True)
 
 
 def compile_filter(spec: dict | None, payload: str | Column = "payload") -> Column:
-    """A Column that is true where the filter holds and never null."""
+    """A Column that is true where the filter holds and never null. A kind that is not known holds everywhere, as an empty filter does."""
     payload = F.col(payload) if isinstance(payload, str) else payload
     if not spec:
         return F.lit(True)
@@ -106,8 +106,10 @@ def compile_filter(spec: dict | None, payload: str | Column = "payload") -> Colu
         kind, spec = spec["type"], {k: v for k, v in spec.items() if k != "type"}
     else:
         found = [k for k in spec if k in LEAVES or k in ("bool", "query")]
-        if len(found) != 1:
+        if len(found) > 1:
             raise ValueError(f"one filter kind expected, got {sorted(spec)}")
+        if not found:
+            return F.lit(True)
         kind, spec = found[0], spec[found[0]]
     if kind == "query":
         return compile_filter(spec, payload)

@@ -16,6 +16,10 @@ from orrery.functions.vectors import as_vector, checked, distance, literal
 from orrery.operators.filters import compile_filter
 
 
+#: Queries of a batch that are compared at once.
+QUERY_BLOCK = 100_000
+
+
 @dataclass(frozen=True)
 class Collection:
     """objects and parts, with the metric and width of the vectors."""
@@ -91,12 +95,33 @@ def similar(
     if strategy == "post_filter":
         parts = parts.orderBy("distance", "part_id").limit(max(enlarged_limit or 0, limit + offset))
     near = parts.join(objects.select("object_id"), "object_id", "left_semi")
-    found = rollup(near, aggregate, with_vectors).join(objects, "object_id")
-    total = found.agg(F.count("*").alias("subset_count"))
-    order = [F.col("distance").asc(), F.col("object_id").asc()] if sort_by is None else [*field_order(*sort_by), F.col("object_id").asc()]
-    page = found.orderBy(*order).offset(offset).limit(limit) if offset else found.orderBy(*order).limit(limit)
+    # An object's distance alone is gathered for all; parts, vectors and payloads only for those of the page.
+    found = near.groupBy("object_id").agg({"min": F.min, "avg": F.avg}[aggregate]("distance").alias("distance"))
+    total = near.agg(F.count_distinct("object_id").alias("subset_count"))
+    if sort_by is None:
+        keys, order = found, [F.col("distance").asc(), F.col("object_id").asc()]
+    else:
+        keys, order = found.join(objects.select("object_id", "payload"), "object_id"), [*field_order(*sort_by), F.col("object_id").asc()]
+    page = (keys.orderBy(*order).offset(offset) if offset else keys.orderBy(*order)).limit(limit)
+    if sort_by is not None:
+        page = page.select("object_id", "distance", "payload")
+    own = rollup(near.join(F.broadcast(page.select("object_id")), "object_id", "left_semi"), aggregate, with_vectors).drop("distance")  # limit objects
+    named = objects.select("object_id", "original_id").join(F.broadcast(page), "object_id").join(F.broadcast(own), "object_id")
     extra = ["vectors"] if with_vectors else []
-    return page.crossJoin(F.broadcast(total)).select(F.coalesce("original_id", "object_id").alias("object_id"), F.col("object_id").alias("found_id"), "distance", "part_ids", *extra, "subset_count")
+    out = named.crossJoin(F.broadcast(total)).orderBy(*order)  # total is one row
+    return out.select(F.coalesce("original_id", "object_id").alias("object_id"), F.col("object_id").alias("found_id"), "distance", "part_ids", *extra, "subset_count")
+
+
+def similar_objects(c: Collection, query: Sequence[float], limit: int, offset: int = 0, **options) -> DataFrame:
+    """The page of similar, with the whole objects: all their columns and parts, an array of (part_id, vector, is_average)
+    by part_id, of the objects as found, under the ids of their originals."""
+    page = similar(c, query, limit, offset, **options)
+    ids = F.broadcast(page.select("found_id"))  # limit rows at most
+    rest = [x for x in c.objects.columns if x not in ("object_id", "original_id")]
+    objects = c.objects.join(ids, F.col("object_id") == F.col("found_id"), "left_semi").select(F.col("object_id").alias("found_id"), *rest)
+    parts = c.parts.join(ids, F.col("object_id") == F.col("found_id"), "left_semi").groupBy(F.col("object_id").alias("found_id"))
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("part_id", "vector", "is_average"))).alias("parts"))
+    return page.select("object_id", "found_id", "distance", "subset_count").join(objects, "found_id").join(parts, "found_id").orderBy("distance", "found_id")
 
 
 def next_offset(returned: int, limit: int, offset: int = 0) -> int | None:
@@ -121,44 +146,49 @@ def payload_count(c: Collection, filter: dict | None = None) -> DataFrame:
 def batch_similar(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """The k nearest parts of each query row (query_id, vector): query_id, part_id, distance, rank.
 
-    The stated queries go in bounded blocks against all parts, each task keeping its k best, so nothing grows with
-    the product but the arithmetic. Queries must be a bounded set: they are counted and refused above 100,000."""
+    The stated queries go in blocks of 100,000 at most against all parts, each task keeping its k best, so nothing grows
+    with the product but the arithmetic, and neither driver nor tasks hold more than a block of queries."""
     import numpy as np
     import pyarrow as pa
-
-    if queries.count() > 100_000:
-        raise ValueError("more than 100,000 queries; split them")
-    rows = queries.select("query_id", as_vector("vector").alias("v")).orderBy("query_id").collect()
-    ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    q = np.array([r.v for r in rows], dtype=np.float64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        ids, q = shared.value
-        best: list[list] = [[] for _ in ids]
-        for batch in batches:
-            if not batch.num_rows or not ids.size:
-                continue
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).values.to_numpy()).reshape(batch.num_rows, -1)
-            for low in range(0, ids.size, block):
-                some = q[low : low + block]
-                ip = some @ x.T
-                if metric == "cosine":
-                    d = 1 - ip / np.sqrt((some**2).sum(1)[:, None] * (x**2).sum(1)[None, :])
-                elif metric == "euclid":
-                    d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * ip, 0))
-                else:
-                    d = -ip
-                for i in range(some.shape[0]):
-                    order = np.lexsort((own, d[i]))[:k]
-                    merged = best[low + i] + [(float(d[i, j]), int(own[j])) for j in order]
-                    best[low + i] = sorted(merged)[:k]
-        flat = [(int(i), p, d) for i, got in zip(ids, best, strict=True) for d, p in got]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "part_id", "distance"])
-
     from pyspark.sql import Window
 
-    local = parts.select(F.col("part_id").cast("long"), as_vector("vector").alias("v")).mapInArrow(run, "query_id long, part_id long, distance double")
+    spark, n = queries.sparkSession, queries.count()
+    vectors = parts.select(F.col("part_id").cast("long"), as_vector("vector").alias("v"))
+    local = None
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = queries.select("query_id", as_vector("vector").alias("v")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.float64)))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            best_q, best_p, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                if not batch.num_rows or not ids.size:
+                    continue
+                own = batch.column(0).to_numpy()
+                x = np.array(batch.column(1).values.to_numpy()).reshape(batch.num_rows, -1)
+                found = [(best_q, best_p, best_d)]
+                for low in range(0, ids.size, block):
+                    some = q[low : low + block]
+                    ip = some @ x.T
+                    if metric == "cosine":
+                        d = 1 - ip / np.sqrt((some**2).sum(1)[:, None] * (x**2).sum(1)[None, :])
+                    elif metric == "euclid":
+                        d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * ip, 0))
+                    else:
+                        d = -ip
+                    near = d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
+                    i, j = np.nonzero(near)
+                    found.append((i + low, own[j], d[i, j]))
+                best_q, best_p, best_d = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((best_p, best_d, best_q))
+                best_q, best_p, best_d = best_q[order], best_p[order], best_d[order]
+                place = np.arange(best_q.size) - np.searchsorted(best_q, best_q)
+                best_q, best_p, best_d = best_q[place < k], best_p[place < k], best_d[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best_q]), pa.array(best_p), pa.array(best_d)], names=["query_id", "part_id", "distance"])
+
+        part = vectors.mapInArrow(run, "query_id long, part_id long, distance double")
+        local = part if local is None else local.union(part)
     w = Window.partitionBy("query_id").orderBy("distance", "part_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

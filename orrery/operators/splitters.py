@@ -117,3 +117,10 @@ def json_line(fields: dict[str, Column], rename: dict[str, str] | None = None) -
 def normalise_fields(df: DataFrame, id_field: str, item_field: str) -> DataFrame:
     """The id as text under item_id and the item under item."""
     return df.withColumnRenamed(item_field, "item").withColumn("item_id", F.col(id_field).cast("string"))
+
+
+def remap_sessions(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (session_id, id, ...) with each id's part ids (item_id, part_id) in its place, the id itself kept as group_id; ids without parts drop out."""
+    each = parts.select(F.col("item_id").alias("group_id"), "part_id")
+    rest = [c for c in rows.columns if c not in ("id", "group_id")]
+    return rows.drop("group_id").withColumnRenamed("id", "group_id").join(each, "group_id").select(*rest, "group_id", F.col("part_id").alias("id"))

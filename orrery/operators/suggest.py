@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from difflib import get_close_matches
 from functools import reduce
@@ -142,13 +143,61 @@ def by_phrase(docs: DataFrame, phrase: str) -> DataFrame:
     return docs.where(F.col("phrase") == phrase)
 
 
-def ranked_match(docs: DataFrame, word: str) -> DataFrame:
-    """Match quality of a first chunk: 3 exact, 2 prefix, 1 near, per (first chunk, labels) the most probable phrase."""
-    c = F.element_at("chunks", 1)
-    rank = F.when(c == word, 3).when(c.startswith(word), 2).when(F.levenshtein(c, F.lit(word)) <= 1, 1).otherwise(0)
-    got = docs.withColumn("rank", rank).where("rank > 0").groupBy(c.alias("first"), "labels")
-    best = got.agg(F.max("rank").alias("rank"), F.max(F.struct("prob", "phrase")).alias("b"))
-    return best.select("first", "rank", F.col("b.prob").alias("prob"), F.col("b.phrase").alias("phrase"))
+#: Longest text of which a fuzzy pattern is made; its length grows with the square.
+FUZZY_CHARS = 64
+
+
+def fuzzy_pattern(text: str) -> str:
+    """A pattern for texts that begin with text, where one character may be any one or two letters; case plays no part.
+
+    Of a single character only that one."""
+    if len(text) > FUZZY_CHARS:
+        raise ValueError(f"a fuzzy pattern is of {FUZZY_CHARS} characters at most")
+    if len(text) < 2:
+        return f"(?i)^{re.escape(text)}" if text else ""
+    each = [re.escape(text[:i]) + "[a-zA-Z]{1,2}" + re.escape(text[i + 1 :]) for i in range(len(text))]
+    return f"(?i)^(?:{'|'.join(each)})"
+
+
+def quality(chunk: Column, word: str, whole: bool = False) -> Column:
+    """3 for an equal chunk, 2 for one that starts with word, 1 for one that fuzzily does, else 0; whole: only 3, or 1 for a near word."""
+    fuzzy = chunk.rlike(fuzzy_pattern(word) + ("$" if whole else ""))
+    rank = F.when(chunk == word, 3)
+    if not whole:
+        rank = rank.when(chunk.startswith(word), 2)
+    return F.coalesce(rank.when(fuzzy, 1).otherwise(0), F.lit(0))
+
+
+def _best(ranked: DataFrame, keys: list[Column], names: list[str], k: int) -> DataFrame:
+    """Of each group of keys and labels the most probable phrase, then the shorter, by rank, probability and length."""
+    row = F.struct(F.col("prob"), (-F.length("phrase")).alias("l"), F.col("phrase"))
+    got = ranked.where("rank > 0").groupBy(*[c.alias(n) for c, n in zip(keys, names, strict=True)], "labels")
+    best = got.agg(F.max("rank").alias("rank"), F.max(row).alias("b")).select(*names, "rank", F.col("b.prob").alias("prob"), F.col("b.phrase").alias("phrase"))
+    return best.orderBy(F.desc("rank"), F.desc("prob"), F.length("phrase"), "phrase").limit(k)
+
+
+def ranked_match(docs: DataFrame, word: str, k: int = 10) -> DataFrame:
+    """The k best by the quality of their first chunk, one for each first chunk and labels."""
+    return _best(docs.withColumn("rank", quality(F.element_at("chunks", 1), word)), [F.element_at("chunks", 1)], ["first"], k)
+
+
+def ranked_prefix(docs: DataFrame, found: tuple[str, ...], k: int = 10) -> DataFrame:
+    """The k best that begin with the chunks found, each equal or near, by the smallest quality of these; one for each next chunk and labels."""
+    rank = F.least(*[quality(F.get("chunks", F.lit(i)), w, True) for i, w in enumerate(found)]) if len(found) > 1 else quality(F.get("chunks", F.lit(0)), found[0], True)
+    return _best(docs.withColumn("rank", rank), [F.get("chunks", F.lit(len(found)))], ["next"], k)
+
+
+def ranked_full(docs: DataFrame, found: tuple[str, ...], next_: str, k: int = 10) -> DataFrame:
+    """The k best on a ladder: the whole of found and the start of the next chunk first, then ever shorter tails of found
+    with it, at last the next chunk alone at the start of a phrase. Within a step the quality of the chunks decides."""
+    ladder = []
+    for i in range(len(found) + 1):
+        tail = found[i:]
+        tests = [quality(F.get("chunks", F.lit(n)), w, True) for n, w in enumerate(tail)] + [quality(F.get("chunks", F.lit(len(tail))), next_)]
+        worst = F.least(*tests) if len(tests) > 1 else tests[0]
+        ladder.append(F.when(worst > 0, worst + 3 * len(tail)).otherwise(0))
+    rank = F.greatest(*ladder) if len(ladder) > 1 else ladder[0]
+    return _best(docs.withColumn("rank", rank), [F.element_at("chunks", 1)], ["first"], k)
 
 
 def update_probability(docs: DataFrame, phrase_id: str, prob: float) -> DataFrame:

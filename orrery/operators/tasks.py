@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("pending", "processing", "done", "failed", "canceled", "refused")
@@ -26,6 +26,16 @@ def remove_tasks(tasks: DataFrame, gone: DataFrame, key: str = "task_id") -> Dat
     return tasks.join(gone.select(key), key, "left_anti")
 
 
+def get(tasks: DataFrame, ids: list, key: str = "task_id") -> DataFrame:
+    return tasks.where(F.col(key).isin(ids))
+
+
+def exists(tasks: DataFrame, ids: DataFrame, key: str = "task_id") -> DataFrame:
+    """The keys of ids, each with whether it is there."""
+    here = tasks.select(key).distinct().withColumn("found", F.lit(True))
+    return ids.select(key).distinct().join(here, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def by_value(tasks: DataFrame, column: str, value, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of the tasks of a model, a destination model or any other column's value."""
     return tasks.where(F.col(column) == value).orderBy("created_at", "task_id").offset(offset).limit(limit)
@@ -47,15 +57,18 @@ def cancel(tasks: DataFrame, task_id: str) -> DataFrame:
     return tasks.withColumn("status", F.when(hit, "canceled").otherwise(F.col("status")))
 
 
-def admissible(requests: DataFrame, locks: DataFrame, capacity: int) -> DataFrame:
-    """Requests (task_id, src, dst, created_at) that meet no lock (src, dst) on either side, while the capacity lasts."""
-    held = locks.select(F.explode(F.array("src", "dst")).alias("m")).distinct()
+def admissible(requests: DataFrame, locks: DataFrame, capacity: int, pending_deletion: DataFrame | None = None) -> DataFrame:
+    """Requests (task_id, src, dst, created_at) that meet no lock (src, dst) and no pending deletion (model) on either
+    side, while the capacity lasts. capacity bounds the rows that the last step orders."""
+    held = locks.select(F.explode(F.array("src", "dst")).alias("m"))
+    if pending_deletion is not None:
+        held = held.union(pending_deletion.select("model"))
+    held = held.distinct()
     free = requests.join(held, requests.src == held.m, "left_anti").join(held, requests.dst == held.m, "left_anti")
     room = locks.agg(F.greatest(F.lit(capacity) - F.count("*"), F.lit(0)).alias("room"))
     first = free.orderBy("created_at", "task_id").limit(capacity)
-    from pyspark.sql import Window
-
-    return first.withColumn("_r", F.row_number().over(Window.orderBy("created_at", "task_id"))).crossJoin(F.broadcast(room)).where("_r <= room").drop("_r", "room")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "task_id"))
+    return first.withColumn("_r", place).crossJoin(F.broadcast(room)).where("_r <= room").drop("_r", "room")
 
 
 def redirect(writes: DataFrame, locks: DataFrame) -> DataFrame:

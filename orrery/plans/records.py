@@ -103,7 +103,7 @@ def best_quality(spark, sf_dir):
     return features.best_quality(runs, "loss", True)
 
 
-@query("SELECT p_partkey, sha256('brand=' || p_brand || ';size=' || p_size) AS params_id FROM part")
+@query("SELECT p_partkey, sha256('brand: ' || p_brand || ' / size: ' || p_size) AS params_id FROM part")
 def params_id(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", features.parameters_id({"size": F.col("p_size"), "brand": F.col("p_brand")}).alias("params_id"))
 

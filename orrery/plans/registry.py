@@ -165,33 +165,33 @@ def batch_knn_per_label(spark, sf_dir):
 
 @query(f"""WITH {_Q}, e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
 c AS (SELECT label AS object_id, list_cosine_distance(list(x ORDER BY i), (SELECT v FROM q)) AS d FROM m GROUP BY label)
-SELECT object_id::BIGINT AS object_id, round(1 / (1 + exp(-(1 - d - 0.8) * 10)), 6) AS probability FROM c WHERE 1 / (1 + exp(-(1 - d - 0.8) * 10)) > 0.0001""")
+SELECT object_id::BIGINT AS object_id, round(1 / (1 + exp(-(1 - d - 0.8) * 10)), 6) AS probability FROM c WHERE 1 / (1 + exp(-(1 - d - 0.8) * 10)) > 0.0004""")
 def category_probability_select(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("object_id"), F.col("embedding").alias("vector"))
     near = splitters.average_parts(e).select("object_id", V.cosine_distance(F.col("vector"), V.literal(query_vector(spark, sf_dir))).alias("distance"))
-    return selectors.select_categories(near, "cosine", threshold=0.0001).select("object_id", r6("probability").alias("probability"))
+    return selectors.select_categories(near, "cosine", threshold=0.0004).select("object_id", r6("probability").alias("probability"))
 
 
 def _filter(name: str, spec: dict, where: str) -> None:
     def run(spark, sf_dir):
         p = t(spark, sf_dir, "part")
-        payload = collections.payload_of(name=F.col("p_name"), brand=F.col("p_brand"), type=F.col("p_type"), size=F.col("p_size"), price=F.col("p_retailprice"), words=F.split("p_name", " "))
+        payload = collections.payload_of(name=F.col("p_name"), brand=F.when(F.col("p_size") % 4 != 0, F.col("p_brand")), type=F.col("p_type"), size=F.col("p_size"), price=F.col("p_retailprice"), words=F.split("p_name", " "))
         return p.select("p_partkey", payload.alias("payload")).where(filters.compile_filter(spec)).select("p_partkey")
 
     QUERIES[f"filter_{name}"] = run
-    SQL[f"filter_{name}"] = f"WITH p AS (SELECT *, string_split(p_name, ' ') AS words FROM part) SELECT p_partkey FROM p WHERE {where}"
+    SQL[f"filter_{name}"] = f"WITH p AS (SELECT * REPLACE (CASE WHEN p_size % 4 <> 0 THEN p_brand END AS p_brand), string_split(p_name, ' ') AS words FROM part) SELECT p_partkey FROM p WHERE {where}"
 
 
 _filter("term", {"term": {"field": "size", "value": 7}}, "p_size = 7")
 _filter("terms", {"terms": {"field": "brand", "values": ["Brand#11", "Brand#23"]}}, "p_brand IN ('Brand#11', 'Brand#23')")
 _filter("range", {"range": {"field": "price", "gte": 950, "lt": 1000}}, "p_retailprice >= 950 AND p_retailprice < 1000")
-_filter("exists", {"exists": {"field": "brand"}}, "true")
+_filter("exists", {"exists": {"field": "brand"}}, "p_brand IS NOT NULL")
 _filter("any", {"any": {"field": "words", "values": ["red", "blue", "steel", "small"]}}, "list_has_any(words, ['red', 'blue', 'steel', 'small'])")
 _filter("all", {"all": {"field": "words", "values": ["red", "widget"]}}, "list_has_all(words, ['red', 'widget'])")
 _filter("match", {"match": {"field": "name", "value": "red | (blue & !steel)"}}, "list_contains(string_split(lower(p_name), ' '), 'red') OR (list_contains(string_split(lower(p_name), ' '), 'blue') AND NOT list_contains(string_split(lower(p_name), ' '), 'steel'))")
 _filter("wildcard", {"wildcard": {"field": "name", "value": "s*"}}, "regexp_matches(lower(p_name), '(^| )s')")
-_filter("bool_nested", {"bool": {"must": [{"range": {"field": "size", "gt": 10}}], "should": [{"term": {"field": "brand", "value": "Brand#11"}}, {"bool": {"filter": [{"range": {"field": "price", "lte": 1200}}]}}]}}, "p_size > 10 AND (p_brand = 'Brand#11' OR p_retailprice <= 1200)")
-_filter("must_not_and", {"bool": {"must_not": [{"range": {"field": "size", "gt": 10}}, {"range": {"field": "price", "gt": 1200}}]}}, "NOT (p_size > 10 AND p_retailprice > 1200)")
+_filter("bool_nested", {"bool": {"must": [{"range": {"field": "size", "gt": 10}}], "should": [{"term": {"field": "brand", "value": "Brand#11"}}, {"bool": {"filter": [{"range": {"field": "price", "lte": 1200}}]}}]}}, "p_size > 10 AND (coalesce(p_brand = 'Brand#11', false) OR p_retailprice <= 1200)")
+_filter("must_not_and", {"bool": {"must_not": [{"range": {"field": "size", "gt": 10}}, {"range": {"field": "price", "gt": 950}}]}}, "NOT (p_size > 10 AND p_retailprice > 950)")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])version[^\p{L}\p{N}_]+2[^\p{L}\p{N}_]+0([^\p{L}\p{N}_]|$)')")
@@ -246,17 +246,23 @@ def session_numbering(spark, sf_dir):
     return clickstream.number_sessions(clickstream.register_sessions(_sessions(spark, sf_dir))).select("session_id", "batch_id", "session_number")
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_id % 3 <> 0 AS old FROM events)
+SELECT event_id, user_id, CASE WHEN old THEN 'log' ELSE 'new' END AS source FROM e UNION ALL SELECT event_id, user_id + 1, 'new' FROM e WHERE old AND event_id % 5 = 0""")
 def dedupe_events(spark, sf_dir):
+    """A log of two thirds of the events gets all of them, twice, and some under another session."""
     e = t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), "ts")
-    return clickstream.push_events(e, e.union(e)).select("event_id", F.col("session_id").alias("user_id"))
+    log, new = e.where("event_id % 3 <> 0").withColumn("source", F.lit("log")), e.withColumn("source", F.lit("new"))
+    other = new.where("event_id % 3 <> 0 and event_id % 5 = 0").withColumn("session_id", F.col("session_id") + 1)
+    return clickstream.push_events(log, new.union(new).union(other)).select("event_id", F.col("session_id").alias("user_id"), "source")
 
 
-@query("WITH m AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events) SELECT event_id FROM events, m WHERE epoch_us(ts) // 1000000 BETWEEN now - 43200 AND now + 300")
+@query("""WITH m AS (SELECT max(epoch_us(ts)) // 1000000 - 3600 AS now FROM events), e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN epoch_us(ts) // 1000000 ELSE now END AS created_at, now FROM events, m)
+SELECT event_id, created_at FROM e WHERE created_at BETWEEN now - 43200 AND now + 300""")
 def late_event_guard(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", F.expr("unix_seconds(cast(ts as timestamp))").alias("created_at"))
-    now = e.agg(F.max("created_at")).first()[0]
-    return clickstream.timestamp_guard(e, now).select("event_id")
+    """An hour before the last event: some lie too far ahead, most too far back, and each eleventh has no time."""
+    e = t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.expr("unix_seconds(cast(ts as timestamp))")).alias("created_at"), F.expr("unix_seconds(cast(ts as timestamp))").alias("at"))
+    now = e.agg(F.max("at")).first()[0] - 3600
+    return clickstream.timestamp_guard(e, now).select("event_id", "created_at")
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -281,11 +287,27 @@ def irrelevant_sessions(spark, sf_dir):
     return features.irrelevant_sessions(_results(spark, sf_dir))
 
 
-@query(f"""WITH {_R}, a AS (SELECT *, avg(clicked::DOUBLE) OVER f * (1 - abs(rank - avg(rank) OVER f)) * (exp(-3.0 * row_number() OVER o / count(*) OVER s - 0.3) + 0.25) AS raw FROM r
-WINDOW s AS (PARTITION BY session_id), o AS (PARTITION BY session_id ORDER BY position), f AS (PARTITION BY session_id ORDER BY position ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
-SELECT session_id, position, round(CASE WHEN max(raw) OVER s > min(raw) OVER s THEN (raw - min(raw) OVER s) / (max(raw) OVER s - min(raw) OVER s) ELSE 0 END + 1e-9, 6) AS confidence FROM a WINDOW s AS (PARTITION BY session_id)""")
+_CONF = """c AS (SELECT *, avg(rank) OVER f + 1e-9 AS mean, avg(clicked::DOUBLE) OVER f AS share, row_number() OVER o AS i, count(*) OVER s AS n FROM r
+WINDOW s AS (PARTITION BY session_id), o AS (PARTITION BY session_id ORDER BY position), f AS (PARTITION BY session_id ORDER BY position ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+d AS (SELECT *, abs(rank - mean) / mean AS near FROM c),
+e AS (SELECT *, (CASE WHEN clicked = 1 THEN (1 - near) * share + (1 - share) * near ELSE (1 - share) * (1 - near) + share * near END) * (exp(-3 * i / n - 0.3) + 0.25) AS score FROM d),
+k AS (SELECT *, (score - min(score) OVER s) / (max(score) OVER s - min(score) OVER s + 1e-9) AS confidence FROM e WINDOW s AS (PARTITION BY session_id))"""
+
+
+@query(f"WITH {_R}, {_CONF} SELECT session_id, position, round(confidence + 1e-9, 5) AS confidence FROM k")
 def click_confidences(spark, sf_dir):
-    return features.confidences(_results(spark, sf_dir)).select("session_id", "position", r6(F.col("confidence") + 1e-9).alias("confidence"))
+    return features.confidences(_results(spark, sf_dir)).select("session_id", "position", F.round(F.col("confidence") + 1e-9, 5).alias("confidence"))
+
+
+@query(f"WITH {_R}, {_CONF} SELECT session_id, position, group_id, round(max(confidence) OVER (PARTITION BY session_id, group_id) + 1e-9, 5) AS confidence FROM k")
+def group_confidences(spark, sf_dir):
+    got = features.group_confidences(features.confidences(_results(spark, sf_dir)))
+    return got.select("session_id", "position", "group_id", F.round(F.col("confidence") + 1e-9, 5).alias("confidence"))
+
+
+@query(f"WITH {_R} SELECT session_id, position, 1.0::DOUBLE AS confidence FROM r")
+def unit_confidences(spark, sf_dir):
+    return features.unit_confidences(_results(spark, sf_dir)).select("session_id", "position", "confidence")
 
 
 @query(f"WITH {_R} SELECT session_id, group_id, max(rank) AS rank, max(clicked) AS clicked FROM r GROUP BY ALL")
@@ -323,31 +345,75 @@ def split_train_test_topped_up(spark, sf_dir):
 
 @query(f"""WITH {_R}, n AS (SELECT session_id, position AS id, clicked, row_number() OVER (PARTITION BY session_id, clicked ORDER BY position) - 1 AS i, count(*) OVER (PARTITION BY session_id, clicked) AS n FROM r),
 z AS (SELECT session_id, max(n) FILTER (clicked = 1) AS pn, max(n) FILTER (clicked = 0) AS nn FROM n GROUP BY 1), k AS (SELECT session_id, pn, nn, unnest(range(greatest(pn, nn))) AS k FROM z WHERE pn > 0 AND nn > 0)
-SELECT k.session_id, k, p.id AS positive, x.id AS negative FROM k JOIN n p ON p.session_id = k.session_id AND p.clicked = 1 AND p.i = k % pn JOIN n x ON x.session_id = k.session_id AND x.clicked = 0 AND x.i = k % nn""")
+SELECT k.session_id, k, p.id AS positive, x.id AS negative, 1 AS target FROM k JOIN n p ON p.session_id = k.session_id AND p.clicked = 1 AND p.i = k % pn JOIN n x ON x.session_id = k.session_id AND x.clicked = 0 AND x.i = k % nn""")
+def positives_and_negatives(spark, sf_dir):
+    return features.positives_and_negatives(_results(spark, sf_dir))
+
+
+def _paired(limit: int) -> str:
+    return f"""WITH s AS (SELECT l_orderkey AS session_id, sum((l_returnflag = 'R')::INT) = 0 AS bad FROM lineitem GROUP BY 1),
+n AS (SELECT session_id, bad, row_number() OVER (PARTITION BY bad ORDER BY md5(CASE WHEN bad THEN 'p:irrelevant:' ELSE 'p:relevant:' END || session_id), session_id) - 1 AS r FROM s),
+z AS (SELECT count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad FROM s), k AS (SELECT unnest(range(least(greatest(good, bad), {limit}))) AS k, good, bad FROM z)
+SELECT k, a.session_id AS relevant, b.session_id AS irrelevant FROM k JOIN n a ON NOT a.bad AND a.r = k % good JOIN n b ON b.bad AND b.r = k % k.bad"""
+
+
+@query(_paired(1 << 60))
 def paired_inputs(spark, sf_dir):
     return features.paired_inputs(_results(spark, sf_dir))
 
 
+@query(_paired(500))
+def paired_inputs_capped(spark, sf_dir):
+    return features.paired_inputs(_results(spark, sf_dir), 500)
+
+
 def _pairs(spark, sf_dir) -> DataFrame:
     li = t(spark, sf_dir, "lineitem")
     return li.select(F.col("l_discount").alias("positive_rank"), F.col("l_tax").alias("negative_rank"), F.lit(1.0).alias("target"), (1 - F.col("l_discount")).alias("positive_confidence"), (1 - F.col("l_tax")).alias("negative_confidence"))
 
 
-@query("SELECT round(avg(least(1 - l_discount, 1 - l_tax) / (1 + exp(l_discount - l_tax - 1))), 6) AS loss FROM lineitem")
+_LOSS = "avg(least(1 - l_discount, 1 - l_tax) / (1 + exp({x})))"
+_SMALL = "sum(abs(l_discount - l_tax) / (1 + exp(-2000 * (0.05 - abs(l_discount - l_tax))))) / (sum(1 / (1 + exp(-2000 * (0.05 - abs(l_discount - l_tax))))) + 1e-10)"
+
+
+@query(f"SELECT round({_LOSS.format(x='-(1 - (l_discount - l_tax))')}, 6) AS loss FROM lineitem")
 def margin_loss(spark, sf_dir):
     return features.margin_loss(_pairs(spark, sf_dir)).select(r6("loss").alias("loss"))
 
 
-@query("SELECT round(avg(least(1 - l_discount, 1 - l_tax) / (1 + exp(400 * (l_discount - l_tax) - 6))), 6) AS loss FROM lineitem")
+@query(f"SELECT round({_LOSS.format(x='-(0.05 - (l_discount - l_tax))')} + {_SMALL}, 6) AS loss FROM lineitem")
+def margin_loss_small_difference(spark, sf_dir):
+    return features.margin_loss(_pairs(spark, sf_dir), 0.05, True).select(r6("loss").alias("loss"))
+
+
+@query(f"SELECT round({_LOSS.format(x='-400 * (0.01 - (l_discount - l_tax)) + 6')}, 6) AS loss FROM lineitem")
 def cosine_margin_loss(spark, sf_dir):
-    return features.cosine_margin_loss(_pairs(spark, sf_dir)).select(r6("loss").alias("loss"))
+    return features.cosine_margin_loss(_pairs(spark, sf_dir), 0.01).select(r6("loss").alias("loss"))
 
 
-@query(f"""WITH {_R},
-m AS (SELECT session_id, avg(CASE WHEN clicked = 1 THEN 1 ELSE -1 END * (new_rank - rank)) AS m, sum(clicked) AS c FROM r GROUP BY 1) SELECT session_id, round(CASE WHEN c = 0 THEN -m ELSE m END + 1e-9, 6) + 0.0 AS shift FROM m""")
-def distance_shift(spark, sf_dir):
+@query("SELECT round(sum(abs(l_discount) * w) / (sum(w) + 1e-10), 6) AS mean FROM (SELECT l_discount, 1 / (1 + exp(-100 * (0.05 - abs(l_discount)))) AS w FROM lineitem)")
+def soft_small_mean(spark, sf_dir):
+    return features.soft_small_mean(t(spark, sf_dir, "lineitem"), "l_discount", 0.05, 100).select(r6("mean").alias("mean"))
+
+
+_SHIFT = f"""WITH {_R}, m AS (SELECT session_id, max(clicked) = 0 AS is_irrelevant, CASE WHEN max(clicked) = 0 THEN avg(rank - new_rank) ELSE avg(new_rank - rank) FILTER (clicked = 1) END AS shift FROM r GROUP BY 1)"""
+
+
+def _old_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = _results(spark, sf_dir)
-    return features.distance_shift(rows.drop("new_rank"), rows.select("session_id", "id", F.col("new_rank").alias("rank"))).select("session_id", (r6(F.col("shift") + 1e-9) + 0.0).alias("shift"))
+    return rows.drop("new_rank"), rows.select("session_id", "id", F.col("new_rank").alias("rank"))
+
+
+@query(f"{_SHIFT} SELECT session_id, is_irrelevant, round(shift + 1e-9, 6) + 0.0 AS shift FROM m")
+def distance_shifts(spark, sf_dir):
+    got = features.distance_shifts(*_old_and_new(spark, sf_dir))
+    return got.select("session_id", "is_irrelevant", (r6(F.col("shift") + 1e-9) + 0.0).alias("shift"))
+
+
+@query(f"{_SHIFT} SELECT round(-avg(shift) FILTER (NOT is_irrelevant), 6) AS not_irrelevant_dist_shift, round(-avg(shift) FILTER (is_irrelevant), 6) AS irrelevant_dist_shift FROM m")
+def distance_shift(spark, sf_dir):
+    got = features.distance_shift(*_old_and_new(spark, sf_dir), is_similarity=False)
+    return got.select(*[r6(c).alias(c) for c in got.columns])
 
 
 @query("""SELECT user_id, event_id, round(value, 6) AS last, round(avg(value) OVER a + 1e-9, 6) AS mean, round(avg(value) OVER s + 1e-9, 6) AS sliding, min(value) OVER a AS min, max(value) OVER a AS max FROM events
@@ -397,12 +463,6 @@ def suggest_diverse(spark, sf_dir):
     return suggest.diverse(phrases(spark, sf_dir), [F.desc("prob"), F.col("phrase")]).select("phrase", r6("prob").alias("prob"))
 
 
-@query(f"""WITH {_PH}, c AS (SELECT *, string_split(lower(phrase), ' ')[1] AS c FROM ph), k AS (SELECT *, CASE WHEN c = 'red' THEN 3 WHEN starts_with(c, 'red') THEN 2 WHEN levenshtein(c, 'red') <= 1 THEN 1 ELSE 0 END AS rank FROM c)
-SELECT c AS first, max(rank)::INT AS rank, round(max({{'p': prob, 'n': phrase}}).p, 6) AS prob, max({{'p': prob, 'n': phrase}}).n AS phrase FROM k WHERE rank > 0 GROUP BY c, labels""")
-def suggest_ranked_match(spark, sf_dir):
-    return suggest.ranked_match(phrases(spark, sf_dir), "red").select("first", "rank", r6("prob").alias("prob"), "phrase")
-
-
 @query("""SELECT doc_id, unnest(range(len(p))) AS part_index, unnest(p) AS part FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n| \\| '), lambda x: length(trim(x, ' ')) > 0) AS p FROM documents)""")
 def split_separator(spark, sf_dir):
     got = splitters.split_items(t(spark, sf_dir, "documents"), splitters.by_separators(F.col("text"), ["\n", " | "]), "doc_id")
@@ -437,7 +497,7 @@ def _tags(spark, sf_dir, outer: bool) -> DataFrame:
     return loaders.with_tags(t(spark, sf_dir, "orders").select("o_orderkey"), links, tags, "o_orderkey", outer)
 
 
-_TAGS = "SELECT o_orderkey, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS tags FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40 GROUP BY 1"
+_TAGS = "SELECT o_orderkey, string_agg(p_type, ', ' ORDER BY p_type) AS tags FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40 GROUP BY 1"
 
 
 @query(f"WITH g AS ({_TAGS}) SELECT o.o_orderkey, coalesce(tags, '') AS tags FROM orders o LEFT JOIN g ON o.o_orderkey = g.o_orderkey")
@@ -496,4 +556,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from orrery.plans import records  # noqa: E402, F401  registers its queries here
+from orrery.plans import more, records  # noqa: E402, F401  they register their queries here

@@ -68,16 +68,24 @@ def derived_id(object_id: Column, *parts: Column) -> Column:
 
 
 def with_tags(items: DataFrame, links: DataFrame, tags: DataFrame, key: str, outer: bool = True) -> DataFrame:
-    """items (key, ...) with tags, the distinct labels in order joined by ', '. links: key, tag_id; tags: tag_id, label.
+    """items (key, ...) with tags, the labels in order joined by ', ', as often as they are linked. links: key, tag_id; tags: tag_id, label.
 
-    outer keeps items without tags, with an empty text; otherwise they drop out. Labels are gathered before the join,
-    so each item's row is moved once."""
-    labels = links.join(tags, "tag_id").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("tags"))
+    outer keeps items without tags, with an empty text; otherwise they drop out. Text columns of items are empty where
+    null. Labels are gathered before the join, so each item's row is moved once."""
+    labels = links.join(tags, "tag_id").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("tags"))
     out = items.join(labels, key, "left" if outer else "inner")
-    return out.withColumn("tags", F.coalesce("tags", F.lit("")))
+    return out.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.typeName() == "string" and f.name != key else F.col(f.name) for f in out.schema.fields])
 
 
 def category_text(intent: Column, tag: Column, name: Column, value: Column) -> Column:
     """`intent/tag/name:value`; a null part is empty."""
     e = [F.coalesce(c.cast("string"), F.lit("")) for c in (intent, tag, name, value)]
     return F.concat(e[0], F.lit("/"), e[1], F.lit("/"), e[2], F.lit(":"), e[3])
+
+
+def distinct_items(items: DataFrame, *identity: str) -> DataFrame:
+    """One row for each identity (columns), whichever comes first by the hash of the rest; item_key is the sha256 of the identity."""
+    rest = [c for c in items.columns if c not in identity]
+    got = items.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")) if rest else items.select(*identity).distinct()
+    key = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in identity]), 256).alias("item_key")
+    return got.select(*identity, *([F.col("_r")[c].alias(c) for c in rest]), key)

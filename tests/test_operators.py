@@ -33,8 +33,7 @@ def test_filter_cases(spark):
     assert ids({"type": "range", "field": "a", "gte": 1}) == [1]
     assert ids({"bool": {"must_not": [{"exists": {"field": "a"}}]}}) == [3]
     assert ids({"bool": {}}) == [1, 2, 3]
-    with pytest.raises(ValueError):
-        filters.compile_filter({"nothing": {}})
+    assert ids({"nothing": {}}) == ids({"type": "nothing", "field": "a"}) == [1, 2, 3]
     with pytest.raises(ValueError):
         T.text_query(F.array(), "a & ")
 
