@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,37 +58,26 @@ def split_sentences(col: Column) -> Column:
     return run(col)
 
 
-def grouped(pieces: list[str], budget: int, count: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
-    """Pieces joined while they fit the budget; a piece over it is cut at words, a word over it stands alone."""
-    out: list[str] = []
-    held, used = [], 0
-
-    def flush() -> None:
-        nonlocal held, used
-        if held:
-            out.append(" ".join(held))
-        held, used = [], 0
-
-    for piece in pieces or []:
-        n = count(piece)
-        parts = [(piece, n)] if n <= budget else [(w, count(w)) for w in piece.split()]
-        for part, size in parts:
-            if used + size > budget:
-                flush()
-            held.append(part)
-            used += size
-    flush()
-    return out
+def words_of(text: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def group_tokens(col: Column, budget: int) -> Column:
-    """An array of pieces grouped to at most budget words each."""
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: grouped(list(x) if x is not None else [], budget))
-
-    return run(col)
+    """An array of pieces joined by blanks while they fit the budget of words; a piece over it is cut at words, which then join."""
+    unit = lambda text, size: F.struct(text.alias("text"), size.alias("size"))
+    units = F.flatten(F.transform(col, lambda p: F.when(F.size(words_of(p)) <= budget, F.array(unit(p, F.size(words_of(p))))).otherwise(F.transform(words_of(p), lambda w: unit(w, F.lit(1))))))
+    texts = "array<string>"
+    start = F.struct(F.array().cast(texts).alias("out"), F.array().cast(texts).alias("held"), F.lit(0).alias("used"))
+
+    def add(acc: Column, u: Column) -> Column:
+        full = (acc["used"] + u["size"] > budget) & (F.size(acc["held"]) > 0)
+        out = F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["held"], " ")))).otherwise(acc["out"])
+        held = F.when(full, F.array(u["text"])).otherwise(F.concat(acc["held"], F.array(u["text"])))
+        return F.struct(out.alias("out"), held.alias("held"), F.when(full, u["size"]).otherwise(acc["used"] + u["size"]).alias("used"))
+
+    done = lambda acc: F.when(F.size(acc["held"]) > 0, F.concat(acc["out"], F.array(F.array_join(acc["held"], " ")))).otherwise(acc["out"])
+    return F.coalesce(F.aggregate(units, start, add, done), F.array().cast(texts))
 
 
 def split_items(items: DataFrame, parts: Column, id_col: str = "item_id") -> DataFrame:

@@ -8,7 +8,7 @@ from difflib import get_close_matches
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
@@ -79,15 +79,16 @@ def match(req: Request, soft: bool = False, domain: str | None = None) -> Column
     return test if domain is None else test & F.array_contains("domains", domain)
 
 
-def diverse(docs: DataFrame, order: list[Column]) -> DataFrame:
+def diverse(docs: DataFrame, order: Column) -> DataFrame:
     """Drops repeated phrases and keeps a phrase only if it brings a label that none before it had; without labels it never stays.
 
-    A label is new exactly at the first phrase that carries it, so two windows replace the sequential walk."""
-    ranked = docs.withColumn("_pos", F.row_number().over(Window.orderBy(*order)))
-    first = ranked.withColumn("_p", F.row_number().over(Window.partitionBy("phrase").orderBy("_pos"))).where("_p = 1").drop("_p")
-    labels = first.select("_pos", F.explode("labels").alias("label"))
-    new = labels.groupBy("label").agg(F.min("_pos").alias("_pos")).select("_pos").distinct()
-    return first.join(new, "_pos", "left_semi")
+    order, smallest first, tells phrases apart. A label is new exactly at the first phrase that carries it, so two
+    groupings replace the sequential walk and no task orders all phrases."""
+    rest = docs.columns
+    first = docs.withColumn("_order", order).groupBy("phrase").agg(F.min_by(F.struct(*rest), "_order").alias("_r"), F.min("_order").alias("_order"))
+    first = first.select("_r.*", "_order")
+    new = first.select("_order", F.explode("labels").alias("label")).groupBy("label").agg(F.min("_order").alias("_order")).select("_order").distinct()
+    return first.join(new, "_order", "left_semi").drop("_order")
 
 
 def suggest(docs: DataFrame, phrase: str, k: int = 10, domain: str | None = None, soft: bool = True, window: int = 100) -> DataFrame:
@@ -103,7 +104,7 @@ def suggest(docs: DataFrame, phrase: str, k: int = 10, domain: str | None = None
         n = strict.agg(F.count("*").alias("n"))
         both = strict.unionByName(near.crossJoin(F.broadcast(n)).where(F.col("n") < k).drop("n"))
     order = [F.col("tier"), F.desc("prob"), F.col("phrase")]
-    return diverse(both, order).orderBy(*order).limit(k).select("phrase", "prob", "tier", "labels")
+    return diverse(both, F.struct(F.col("tier"), -F.col("prob"), F.col("phrase"))).orderBy(*order).limit(k).select("phrase", "prob", "tier", "labels")
 
 
 def _close_position(word: str):

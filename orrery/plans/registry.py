@@ -460,7 +460,7 @@ def suggest_domain(spark, sf_dir):
 @query(f"""WITH {_PH}, w AS (SELECT phrase, prob, labels, row_number() OVER (ORDER BY prob DESC, phrase) AS pos FROM ph), l AS (SELECT unnest(labels) AS label, pos FROM w), f AS (SELECT DISTINCT first_pos FROM (SELECT label, min(pos) AS first_pos FROM l GROUP BY label))
 SELECT phrase, round(prob, 6) AS prob FROM w JOIN f ON pos = first_pos""")
 def suggest_diverse(spark, sf_dir):
-    return suggest.diverse(phrases(spark, sf_dir), [F.desc("prob"), F.col("phrase")]).select("phrase", r6("prob").alias("prob"))
+    return suggest.diverse(phrases(spark, sf_dir), F.struct(-F.col("prob"), F.col("phrase"))).select("phrase", r6("prob").alias("prob"))
 
 
 @query("""SELECT doc_id, unnest(range(len(p))) AS part_index, unnest(p) AS part FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n| \\| '), lambda x: length(trim(x, ' ')) > 0) AS p FROM documents)""")
@@ -475,10 +475,22 @@ def split_pattern(spark, sf_dir):
     return got.select(F.col("item_id").cast("long").alias("doc_id"), F.col("part_index").cast("long").alias("part_index"), "part")
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS p FROM documents),
+l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS piece FROM s), c AS (SELECT doc_id, i, piece, regexp_extract_all(piece, '\S+') AS w FROM l),
+x AS (SELECT doc_id, i, CASE WHEN len(w) <= 40 THEN [piece] ELSE w END AS us, CASE WHEN len(w) <= 40 THEN len(w) ELSE 1 END AS n FROM c),
+u AS (SELECT doc_id, i, unnest(range(len(us))) AS j, unnest(us) AS unit, n FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM u),
+g AS (SELECT doc_id, k, unit, n AS used, 0 AS part FROM o WHERE k = 1
+      UNION ALL SELECT o.doc_id, o.k, o.unit, CASE WHEN g.used + o.n > 40 THEN o.n ELSE g.used + o.n END, CASE WHEN g.used + o.n > 40 THEN g.part + 1 ELSE g.part END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1)
+SELECT doc_id || ':' || part AS part_id, part::INT AS part_index, string_agg(unit, ' ' ORDER BY k) AS part FROM g GROUP BY doc_id, part""")
 def split_token_budget(spark, sf_dir):
-    pieces = splitters.group_tokens(splitters.split_sentences(F.col("text")), 128)
-    return splitters.split_items(t(spark, sf_dir, "documents"), pieces, "doc_id").select("part_id", "part_index", F.length("part").alias("n_chars"))
+    pieces = splitters.group_tokens(splitters.by_separators(F.col("text"), ["\n"]), 40)
+    return splitters.split_items(t(spark, sf_dir, "documents"), pieces, "doc_id").select("part_id", "part_index", "part")
+
+
+@query()
+def split_sentences(spark, sf_dir):
+    got = splitters.split_items(t(spark, sf_dir, "documents"), splitters.split_sentences(F.col("text")), "doc_id")
+    return got.select("part_id", "part_index", F.length("part").alias("n_chars"))
 
 
 @query("""SELECT p_partkey, 'brand: "' || p_brand || '" name: "' || p_name || '" size: "' || p_size || '"' AS line FROM part""")

@@ -1,10 +1,14 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 from orrery.functions import vectors as V
-from orrery.operators import ann, augment, clickstream, collections, features, filters, improve, search, splitters, suggest, tasks
+from orrery.operators import ann, augment, clickstream, collections, features, filters, improve, indexing, search, splitters, suggest, tasks
 from orrery.sources import loaders
 from orrery.streaming import clickstream as streaming
 
@@ -105,6 +109,82 @@ def test_collections(spark, tmp_path):
     assert cat.optimize("c", "x", lambda *_: None) and not cat.optimize("c", "x", lambda *_: None)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+@pytest.mark.parametrize("aggregate", ["min", "avg"])
+def test_similarity_gradients(metric, aggregate):
+    """Analytic gradients against differences, for several query vectors."""
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(3, 5)), rng.normal(size=(4, 5))
+    s, g = improve.similarity(q, x, metric, aggregate, 0.7)
+    for i in range(4):
+        for k in range(5):
+            step = np.zeros_like(x)
+            step[i, k] = 1e-6
+            up, down = (improve.similarity(q, x + z, metric, aggregate, 0.7)[0] for z in (step, -step))
+            assert np.allclose((up - down)[i] / 2e-6, g[i, k], atol=1e-6) and np.allclose(np.delete(up, i), np.delete(s, i))
+    clicked = np.array([True, False, True, False])
+    moved = improve.similarity(q, improve.adjust(q, x, clicked, 0.01, 5, metric, aggregate, 0.7), metric, aggregate, 0.7)[0]
+    loss = lambda v: -(v[clicked] ** 3).mean() + (v[~clicked] ** 3).mean()
+    assert loss(moved) < loss(s)
+
+
+def test_confidences_by_hand(spark):
+    """A session of five without a click, its shares all 0: (1 - s) fades with the position; and one with a click."""
+    rows = spark.createDataFrame([(1, i, 0.5, 0) for i in range(5)] + [(2, 0, 0.9, 1), (2, 1, 0.5, 0), (2, 2, 0.1, 0)], "session_id int, position int, rank double, clicked int")
+    got = {(r.session_id, r.position): r.confidence for r in features.confidences(rows).collect()}
+    assert [round(got[1, i], 3) for i in range(5)] == [1.0, 0.504, 0.231, 0.082, 0.0]
+    fade = [math.exp(-(i + 1) - 0.3) + 0.25 for i in range(3)]
+    raw = [(1 - 0.2 / 0.7) * 0.5 + 0.5 * 0.2 / 0.7, 2 / 3, (1 - 0.2 / 0.3)]
+    raw = [a * b for a, b in zip(raw, fade, strict=True)]
+    assert [got[2, i] for i in range(3)] == pytest.approx([(x - min(raw)) / (max(raw) - min(raw)) for x in raw], abs=1e-6)
+
+
+def test_shifts_and_losses_by_hand(spark):
+    old = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.9, 0), (2, "a", 0.5, 0), (2, "b", 0.4, 0)], "session_id int, id string, rank double, clicked int")
+    new = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.1), (2, "a", 0.3), (2, "b", 0.4)], "session_id int, id string, rank double")
+    got = features.distance_shift(old, new).first()
+    assert (got.not_irrelevant_dist_shift, got.irrelevant_dist_shift) == (pytest.approx(0.2), pytest.approx(0.1))
+    assert features.distance_shift(old, new, False).first().not_irrelevant_dist_shift == pytest.approx(-0.2)
+    assert features.distance_shift(old.where("session_id = 1"), new).first().irrelevant_dist_shift == 0.0
+    pair = spark.createDataFrame([(0.5, 0.5, 1, 1.0, 1.0)], "positive_rank double, negative_rank double, target int, positive_confidence double, negative_confidence double")
+    assert features.cosine_margin_loss(pair, 1e-9).first().loss == pytest.approx(1 / (1 + math.exp(6)), rel=1e-5)
+    assert features.margin_loss(pair, 1.0).first().loss == pytest.approx(1 / (1 + math.exp(-1)))
+    with pytest.raises(ValueError):
+        features.margin_loss(pair, 0)
+
+
+def test_session_pairs(spark):
+    rows = spark.createDataFrame([(s, p, int(s < 3 and p == 0)) for s in range(10) for p in range(2)], "session_id int, position int, clicked int")
+    got = features.paired_inputs(rows).collect()
+    assert sorted(r.k for r in got) == list(range(7)) and {r.irrelevant for r in got} == set(range(3, 10))
+    assert sorted(Counter(r.relevant for r in got).values()) == [2, 2, 3]
+    assert features.paired_inputs(rows, 4).count() == 4
+    assert {r.irrelevant for r in features.paired_inputs(rows.where("session_id < 3")).collect()} == {None}
+    assert features.paired_inputs(rows.where("session_id > 2")).count() == 0 == features.paired_inputs(rows.limit(0)).count()
+
+
+def test_glue_and_fuzzy(spark):
+    df = spark.createDataFrame([(["a", "b", "-", "c", "d", "."],), ([".", "x", "/"],), (["-", "y", "-", "-", "z"],), ([],)], "c array<string>")
+    assert [r.t for r in df.select(T.glue(F.col("c")).alias("t")).collect()] == ["a b-c d.", ". x/", "- y-- z", ""]
+    p = re.compile(suggest.fuzzy_pattern("ca.e"))
+    assert all(p.search(x) for x in ("ca.e", "CA.Es", "xa.e", "caxe", "xya.e")) and not any(p.search(x) for x in ("cab1e", "a.e", "1a.e"))
+    assert suggest.fuzzy_pattern("") == ""
+    with pytest.raises(ValueError):
+        suggest.fuzzy_pattern("x" * 100)
+
+
+def test_index_stages(spark):
+    def embed(df):
+        return df.withColumn("vector", F.when(F.col("part") != "bad", F.array(F.lit(1.0), F.length("part").cast("double"))))
+
+    items = spark.createDataFrame([("a", "x|yy"), ("b", None), ("c", " "), ("d", "ok|bad"), ("a", None)], "item_id string, item string")
+    got = indexing.prepare(items, lambda c: splitters.by_separators(c, ["|"]), embed, 2, average=True)
+    assert [r.object_id for r in got.objects.collect()] == ["a"] and {r.part_id: list(r.vector) for r in got.parts.collect()} == {"a:0": [1, 1], "a:1": [1, 2], "a:average": [1, 1.5]}
+    assert sorted((r.object_id, r.stage) for r in got.failed.collect()) == [("b", "load"), ("c", "split"), ("d", "embed")]
+    out, state = indexing.reindex(got.objects, got.objects.limit(0), got.parts.limit(0), embed, 2, budget=0)
+    assert tuple(state.first()) == (1, 0, False) and out.parts.count() == 1
+
+
 def test_improvement_moves_clicked_nearer():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=4), rng.normal(size=(6, 4))
@@ -117,7 +197,8 @@ def test_improvement_moves_clicked_nearer():
 
 def test_splitters_and_augment(spark):
     assert splitters.sentences("A b. C d! ```x. y``` E.") == ["A b.", "C d!", "```x. y```", "E."]
-    assert splitters.grouped(["a b", "c", "d e f g"], 3) == ["a b c", "d e f", "g"]
+    pieces = spark.createDataFrame([(["a b", "c", "d e f g"],), (None,), ([],)], "p array<string>")
+    assert [r.g for r in pieces.select(splitters.group_tokens(F.col("p"), 3).alias("g")).collect()] == [["a b c", "d e f", "g"], [], []]
     df = spark.createDataFrame([(1, "Hello world")], "id long, text string")
     assert {r.text for r in augment.change_cases(df).collect()} == {"Hello world", "hello world", "HELLO WORLD"}
     assert augment.misspell("hello world", 0.3, "s") == augment.misspell("hello world", 0.3, "s")
