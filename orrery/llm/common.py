@@ -88,7 +88,18 @@ def materialize(df: DataFrame, tag: str, batch_bytes: int = BATCH_BYTES) -> Data
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(*written: DataFrame | str) -> None:
+    """Deletes tables that materialize wrote, and folders, once nothing will read them again: not even a lost executor's work."""
+    for x in written:
+        path = x if isinstance(x, str) else x._shared_path
+        spark = SparkSession.active()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(id_col: str, modulus: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, materialize, mix64, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
+from orrery.llm.common import _LOWER, forget, materialize, mix64, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a window is verified, and shares of its shingles that must be there.
@@ -231,7 +231,9 @@ def build_index(benchmark: DataFrame, item_col: str, text_col: str, shard_postin
         return pa.table({"name": pa.array([name], pa.string())})
 
     built = sharded.select("shard", "i", "t").groupBy("shard").cogroup(df.groupBy("of")).applyInArrow(build, "name string")
-    return folder, sorted(r.name for r in built.collect())  # one for each shard
+    names = sorted(r.name for r in built.collect())  # one for each shard
+    forget(items)
+    return folder, names
 
 
 class Shards:

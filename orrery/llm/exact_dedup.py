@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import leave_notes, materialize, notes_of, placed, table, tidy
+from orrery.llm.common import forget, leave_notes, materialize, notes_of, placed, table, tidy
 
 #: Bits of a fingerprint: with 3e10 texts one in 10,000 is suspected by chance, which verification settles.
 BITS = 48
@@ -143,12 +143,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     answers = sent.select("chunk", "owner", "n", "k", "code", "local").groupBy("owner").applyInArrow(_answer, "chunk long, owner long, marks binary")
     marked = sent.select("chunk", "owner", "docs").join(answers, ["chunk", "owner"]).select("docs", "marks")
     marked = materialize(marked.mapInArrow(tidy(_marked), "id long, file_at long, row_at long, sha binary, suspect boolean"), "marked")
-    noted = notes_of(leave_notes(marked.where("suspect").select("file_at", "row_at", F.lit(1).cast("long").alias("note")), "suspects"))
+    forget(sent)
+    notes = leave_notes(marked.where("suspect").select("file_at", "row_at", F.lit(1).cast("long").alias("note")), "suspects")
+    noted = notes_of(notes)
     # Byte verification: suspects travel as text and meet only those of the same bytes.
     suspects = source.withColumn("note", noted("file_at", "row_at")).where("note is not null").select("id", F.length("text").cast("long").alias("chars"), normalised(F.col("text")).alias("norm"))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("id")))
     verified = suspects.select("id", "chars", "norm", sha).groupBy("sha", "norm").agg(F.count("*").alias("size"), best.alias("best"))
     groups = materialize(verified.where("size > 1").select("sha", "size", F.col("best.id").alias("keep_id")), "groups")
+    forget(notes)
     # Digests only; what is no suspect needs no partner, and adaptive execution splits the digest of a hot group.
     alone = marked.where("not suspect").select("id", "sha", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("keep_id"))
     out = marked.where("suspect").select("id", "sha").join(groups, "sha", "left").select("id", "sha", "size", "keep_id").union(alone)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Notes, leave_notes, materialize, meet, mix64, placed, shingle_sets, table, text_slices, tidy
+from orrery.llm.common import Notes, forget, leave_notes, materialize, meet, mix64, placed, shingle_sets, table, text_slices, tidy
 
 #: Bands x rows: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -166,7 +166,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("x"), "low").union(down.select(F.col("u").alias("x"), "low"))
         after = materialize(small.where("x <> low").select(F.col("x").alias("u"), F.col("low").alias("v")).distinct(), "edges")
         before, total = total, after.count()
-        if total == before and after.exceptAll(now).isEmpty():
+        same = total == before and after.exceptAll(now).isEmpty()
+        forget(now)
+        if same:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now = after
 
@@ -189,9 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes.select("class_key", F.col("one.id").alias("node"), "one.file_at", "one.row_at", "n", "bands"), "classes")
     spread = classes.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     heads = spread.groupBy("band", "bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
-    heads = materialize(heads, "heads")
+    written = materialize(heads, "heads")
     # Groups with the same members in several bands count once.
-    heads = heads.groupBy("hub", "m", "x").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket", "hub", "m")
+    heads = written.groupBy("hub", "m", "x").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket", "hub", "m")
     nodes = classes.count()
     members = materialize(meet(spread, heads, ["band", "bucket"], nodes), "members")
     # Only candidates' texts are cut into sets again, each by the task that scans it; a node has several sets if rows share its id.
@@ -199,6 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = leave_notes(wanted, "wanted")
     sets = source.select("text", "file_at", "row_at").mapInArrow(tidy(_sets(width, folder)), "node long, n long, shingles binary")
     sets = materialize(sets, "sets")
+    forget(folder)
     # A hub's set is copied for each HUB_ROWS of its members, so that a large group is many tasks' work.
     salts = F.ceil(F.col("m") / HUB_ROWS)
     pairs = members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("m").alias("m"))
@@ -214,9 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = members.join(found.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     part = part.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left")
     part = part.where("node <> hub").select("band", "bucket", "node", (F.col("c") != F.coalesce("hc", "hub")).alias("out"))
-    part = materialize(part, "outside")
-    rest = part.groupBy("band", "bucket").agg(F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("m")).where("outs > 0 and m > 1")
-    part = meet(part, rest, ["band", "bucket"], nodes).withColumn("h", F.xxhash64("node"))
+    outside = materialize(part, "outside")
+    rest = outside.groupBy("band", "bucket").agg(F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("m")).where("outs > 0 and m > 1")
+    part = meet(outside, rest, ["band", "bucket"], nodes).withColumn("h", F.xxhash64("node"))
     part = part.withColumn("qn", F.ceil(F.col("outs") / QUERY_BLOCK)).withColumn("tn", F.ceil(F.col("m") / TARGET_BLOCK))
     part = materialize(part, "rest")
     targets = part.select("band", "bucket", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("qb"), F.expr("pmod(h, tn)").alias("tb"), F.lit(False).alias("is_query"), F.lit(True).alias("is_target"))
@@ -225,6 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = blocks.join(sets.select("node", "shingles"), "node")
     more = materialize(blocks.groupBy("band", "bucket", "qb", "tb").applyInArrow(_blocks(percent), "a long, b long"), "links")
     whole = components(links.union(more))
+    forget(written, members, sets, links, outside, part, more)
     by_class = classes.select("class_key", "node").join(whole, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "class_key").join(by_class, "class_key", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _LOWER, held_out, materialize, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
+from orrery.llm.common import _LOWER, forget, held_out, materialize, shared_folder, store, table, text_slices, tidy, word_hashes, word_spans
 
 ORDER, FOLDS = 5, 10
 #: Bytes of text whose words share a dictionary.
@@ -361,6 +361,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = chunks.where("code is not null").select("chunk", "code", "n")
     counts = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "codes")
     costs = materialize(symbol_costs(counts, order), "costs")
+    forget(counts)
     # What a chunk is told: a slot's count, or, under -1 - code, a code's cost.
     told = met.select(F.col("chunk").alias("of"), F.col("slot").cast("long").alias("key"), F.col("c").cast("double").alias("value"))
     told = told.union(asked.join(costs, "code").select("chunk", F.lit(-1) - F.col("code"), "cost"))

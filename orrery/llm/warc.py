@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Notes, leave_notes, materialize, placed, shared_dir, store, table, tidy
+from orrery.llm.common import Notes, forget, leave_notes, materialize, placed, shared_dir, store, table, tidy
 
 MAGIC = 0x184D2A5D
 #: Payload bytes of one archive, of what a dictionary is built from, and of the dictionary; shortest payload that is revisited.
@@ -152,7 +152,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             yield flush()
 
     manifest = source.mapInArrow(tidy(run), "path string, records long, bytes long")
-    return materialize(manifest.select(F.lit(folder).alias("folder"), "path", "records", "bytes"), "manifest")
+    manifest = materialize(manifest.select(F.lit(folder).alias("folder"), "path", "records", "bytes"), "manifest")
+    forget(hashed, told)
+    return manifest
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
