@@ -6,18 +6,23 @@ Ties always fall by object_id. A null threshold is no bound. Of an object's part
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
-from orrery.functions.vectors import as_vector, checked, distance, literal
+from orrery.functions.vectors import METRICS, as_vector, checked, distance, literal
 from orrery.operators.filters import compile_filter
 
 
 #: Queries of a batch that are compared at once.
 QUERY_BLOCK = 100_000
+#: Parts that meet queries at once, pairs whose products are in memory, and pairs whose exact distances are.
+TILE_PARTS, TILE_PAIRS, EXACT_PAIRS = 2048, 1 << 18, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -143,52 +148,166 @@ def payload_count(c: Collection, filter: dict | None = None) -> DataFrame:
     return c.objects.where("user_id is null and original_id is null").where(compile_filter(filter)).agg(F.count("object_id").alias("n"))
 
 
-def batch_similar(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """The k nearest parts of each query row (query_id, vector): query_id, part_id, distance, rank.
-
-    The stated queries go in blocks of 100,000 at most against all parts, each task keeping its k best, so nothing grows
-    with the product but the arithmetic, and neither driver nor tasks hold more than a block of queries."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import Window
-
+def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of an Arrow column as rows of doubles, and the places of these rows; nulls are left out."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    column = column.drop_null().cast(pa.list_(pa.float64()))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    width = values.size // max(1, len(column))
+    if (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors of several lengths")
+    return values.reshape(len(column), width), there
+
+
+class Nearest:
+    """The k nearest parts of each row of q among all parts added, by distance and id.
+
+    Products of blocks sift the pairs, with a margin for their rounding; what is near enough gets its distance term by term,
+    as the columns of orrery.functions.vectors do. So equal vectors are equally far wherever they stand, and ids settle ties.
+    A pair without a distance (a zero vector by cosine, a value that is no number) is no neighbour."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
+        self.q, self.k, self.metric = q, k, metric
+        self.ids: np.ndarray | None = None
+        self.row, self.distance = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
+        self.norm = np.sqrt((q * q).sum(1))
+        self.sifted = self._sifted(q, self.norm)
+
+    def _sifted(self, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        if self.metric != "cosine":
+            return x
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            return (x / norm[:, None]).astype(np.float32)
+
+    def _exact(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        total = lambda a: np.add.accumulate(a, axis=1)[:, -1]  # noqa: E731  in order, as Spark adds
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            if self.metric == "cosine":
+                return 1 - total(q * x) / np.sqrt(total(q * q) * total(x * x))
+            return np.sqrt(total((q - x) * (q - x))) if self.metric == "euclid" else -total(q * x)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        """groups: rows of x and the rows of q that they are compared with; without, all with all."""
+        if not len(x) or not len(self.q):
+            return
+        if x.shape[1] != self.q.shape[1]:
+            raise ValueError(f"the queries have {self.q.shape[1]} dimensions, the parts {x.shape[1]}")
+        first = 0 if self.ids is None else self.ids.size
+        self.ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        kept = self._few_copies(ids, x)
+        norm = np.sqrt((x * x).sum(1))
+        sifted = self._sifted(x, norm)
+        for rows, asked in groups if groups is not None else [(np.arange(len(x)), np.arange(len(self.q)))]:
+            rows = rows[kept[rows]]
+            own = np.ascontiguousarray(sifted[rows].T)
+            step = TILE_PAIRS // max(1, min(rows.size, TILE_PARTS))
+            for low in range(0, asked.size, step):
+                some = asked[low : low + step]
+                for left in range(0, rows.size, TILE_PARTS):
+                    part = slice(left, left + TILE_PARTS)
+                    self._tile(some, rows[part], own[:, part], norm[rows[part]], x, first)
+
+    def _few_copies(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether each row is among the k first, by id, of its equals; no later one is among the k nearest."""
+        bits = np.ascontiguousarray(x).view(np.uint64)
+        odd = np.random.default_rng(0).integers(1 << 62, size=x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        key = (bits * odd).sum(1, dtype=np.uint64)
+        order = np.lexsort((ids, key))
+        new = np.ones(len(x), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        late = np.flatnonzero(np.arange(len(x)) - start >= self.k)
+        late = late[(bits[order[late]] == bits[order[start[late]]]).all(1)]
+        kept = np.ones(len(x), bool)
+        kept[order[late]] = False
+        return kept
+
+    def _tile(self, asked: np.ndarray, rows: np.ndarray, own: np.ndarray, norm: np.ndarray, x: np.ndarray, first: int) -> None:
+        """asked: rows of q; rows: rows of x, with their columns of the sifting matrix and their lengths."""
+        k, worst = self.k, self.distance[asked, -1]
+        with np.errstate(all="ignore"):
+            key = self.sifted[asked] @ own
+            np.negative(key, out=key)
+            if self.metric == "euclid":
+                key *= 2
+                key += norm * norm
+            # Twice what rounding may add up to in products, lengths and what is known of the worst.
+            length, high = self.norm[asked], np.max(norm, where=np.isfinite(norm), initial=0)
+            unit, scale = {"cosine": (2.0**-23, 1.0), "dot": (2.0**-52, length * high), "euclid": (2.0**-52, (length + high) ** 2)}[self.metric]
+            margin = 2 * (x.shape[1] + 8) * unit * scale + np.zeros(asked.size)
+            bound = {"cosine": worst - 1, "dot": worst, "euclid": worst * worst - length * length}[self.metric] + margin
+            if len(rows) > k and (open_ := np.flatnonzero(np.isinf(worst))).size:
+                bound[open_] = np.minimum(bound[open_], np.partition(key[open_], k - 1, axis=1)[:, k - 1] + 2 * margin[open_])
+            bound[np.isnan(bound)] = np.inf
+            bound = np.nextafter(bound.astype(key.dtype), key.dtype.type(np.inf))
+            i, j = np.divmod(np.flatnonzero(key <= bound[:, None]), len(rows))
+        if not i.size:
+            return
+        d = np.concatenate([self._exact(self.q[asked[i[s : s + EXACT_PAIRS]]], x[rows[j[s : s + EXACT_PAIRS]]]) for s in range(0, i.size, EXACT_PAIRS)])
+        near = np.isfinite(d) & (d <= worst[i])
+        i, j, d = i[near], j[near], d[near]
+        if not i.size:
+            return
+        some, place = np.unique(i, return_inverse=True)
+        every_i = np.concatenate([np.repeat(np.arange(some.size), k), place])
+        every_r = np.concatenate([self.row[asked[some]].ravel(), rows[j] + first])
+        every_d = np.concatenate([self.distance[asked[some]].ravel(), d])
+        order = np.lexsort((self.ids[every_r], every_d, every_i))
+        rank = np.arange(order.size) - np.searchsorted(every_i[order], every_i[order])
+        order = order[rank < k]  # k of each, as k of each were there before
+        self.row[asked[some]], self.distance[asked[some]] = every_r[order].reshape(-1, k), every_d[order].reshape(-1, k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q, ids of parts and distances."""
+        i, j = np.nonzero(np.isfinite(self.distance))
+        return i, self.ids[self.row[i, j]] if i.size else np.zeros(0, np.int64), self.distance[i, j]
+
+
+def nearest(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", cells: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """query_id, part_id, distance, rank: the k nearest parts (part_id, vector) of each row of queries (query_id, vector).
+    cells gives the cells in which each query looks; parts have theirs in the column cell then.
+
+    Queries go in blocks of 100,000 at most against all parts, each task keeping its k best, so nothing grows with the
+    product but the arithmetic, and neither driver nor tasks hold more than a block of queries."""
     spark, n = queries.sparkSession, queries.count()
-    vectors = parts.select(F.col("part_id").cast("long"), as_vector("vector").alias("v"))
-    local = None
+    rows = parts.select("part_id", "vector", *(["cell"] if cells is not None else []))
+    schema = ST.StructType([ST.StructField("query_id", queries.schema["query_id"].dataType), ST.StructField("part_id", parts.schema["part_id"].dataType), ST.StructField("distance", ST.DoubleType())])
+    local, by_cell = None, cells is not None
     blocks = max(1, -(-n // QUERY_BLOCK))
     for b in range(blocks):
-        rows = queries.select("query_id", as_vector("vector").alias("v")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.float64)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            best_q, best_p, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        asked = queries.select("query_id", "vector").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        q, there = matrix(asked.column("vector"))
+        looks = cells(q) if cells is not None else np.zeros((0, 1), int)
+        wanted = [np.flatnonzero((looks == c).any(1)).astype(np.int32) for c in range(looks.max(initial=-1) + 1)]
+        shared = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks().take(pa.array(there)), q, wanted))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, wanted = shared.value
+            best, kind = Nearest(q, k, metric), None
             for batch in batches:
-                if not batch.num_rows or not ids.size:
-                    continue
-                own = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).values.to_numpy()).reshape(batch.num_rows, -1)
-                found = [(best_q, best_p, best_d)]
-                for low in range(0, ids.size, block):
-                    some = q[low : low + block]
-                    ip = some @ x.T
-                    if metric == "cosine":
-                        d = 1 - ip / np.sqrt((some**2).sum(1)[:, None] * (x**2).sum(1)[None, :])
-                    elif metric == "euclid":
-                        d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * ip, 0))
-                    else:
-                        d = -ip
-                    near = d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-                    i, j = np.nonzero(near)
-                    found.append((i + low, own[j], d[i, j]))
-                best_q, best_p, best_d = (np.concatenate(c) for c in zip(*found, strict=True))
-                order = np.lexsort((best_p, best_d, best_q))
-                best_q, best_p, best_d = best_q[order], best_p[order], best_d[order]
-                place = np.arange(best_q.size) - np.searchsorted(best_q, best_q)
-                best_q, best_p, best_d = best_q[place < k], best_p[place < k], best_d[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best_q]), pa.array(best_p), pa.array(best_d)], names=["query_id", "part_id", "distance"])
-
-        part = vectors.mapInArrow(run, "query_id long, part_id long, distance double")
+                x, there = matrix(batch.column("vector"))
+                kind, groups = batch.schema.field("part_id").type, None
+                if batch.column("part_id").null_count:
+                    raise ValueError("a part without part_id")
+                own = batch.column("part_id").to_numpy(zero_copy_only=False)[there]
+                if by_cell:
+                    cell = batch.column("cell").to_numpy(zero_copy_only=False)[there]
+                    groups = [(np.flatnonzero(cell == c), wanted[int(c)]) for c in np.unique(cell) if c < len(wanted)]
+                best.add(own.astype(str) if own.dtype == object else own, x, groups)
+            if kind is not None:
+                i, ids, d = best.found()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(ids).cast(kind), pa.array(d)], names=["query_id", "part_id", "distance"])
+
+        part = rows.mapInArrow(run, schema)
         local = part if local is None else local.union(part)
     w = Window.partitionBy("query_id").orderBy("distance", "part_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def batch_similar(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """The k nearest parts of each query row (query_id, vector) by number: query_id, part_id, distance, rank. See nearest."""
+    return nearest(queries.withColumn("query_id", F.col("query_id").cast("long")), parts.withColumn("part_id", F.col("part_id").cast("long")), k, metric)

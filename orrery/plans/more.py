@@ -69,9 +69,8 @@ def ann_recall(spark, sf_dir):
     centres = ann.train_centroids(own)
     found = ann.batch_search(ann.assign(own, centres), centres, asked, 10).select("query_id", "part_id")
     exact = search.batch_similar(asked, own, 10).select("query_id", "part_id")
-    hits = exact.join(found, ["query_id", "part_id"]).groupBy("query_id").agg(F.count("*").alias("n"))
-    every = exact.groupBy("query_id").agg(F.count("*").alias("k")).join(hits, "query_id", "left")
-    return every.agg(F.count("*").alias("queries"), (F.avg(F.coalesce("n", F.lit(0)) / F.col("k")) >= 0.9).alias("reached"))
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "part_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("share"))
+    return asked.select("query_id").join(hits, "query_id", "left").agg(F.count("*").alias("queries"), (F.avg("share") >= 0.9).alias("reached"))
 
 
 # ------------------------------------------------------------------ selectors

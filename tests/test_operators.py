@@ -1,6 +1,8 @@
 import math
+import operator
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -84,6 +86,61 @@ def test_ann_recall_of_defaults(spark):
     assert len(centres) == 32 and len(shares) == 100 and np.mean(shares) >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclid", "dot"])
+def test_batch_searches_against_all_pairs(spark, metric, monkeypatch):
+    """Ids as texts and numbers, copies, near copies, vectors of no length, nulls, several blocks of queries and tiles of parts."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(search, "TILE_PARTS", 64)
+    monkeypatch.setattr(search, "TILE_PAIRS", 1024)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 6)).astype(np.float32)
+    x[100:250], x[300:330], x[7], x[8] = x[100], x[300] * 3, 0, -0.0
+    x[400:450] = x[400] + rng.normal(size=(50, 6)).astype(np.float32) * 1e-7
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(600), x, strict=True)] + [(600, None)]
+    parts = spark.createDataFrame(rows, "part_id long, vector array<float>").repartition(5).cache()
+    asked = parts.where("part_id % 5 = 0").select(F.col("part_id").alias("query_id"), "vector")
+    centres = ann.train_centroids(parts, 8)
+    assigned = ann.assign(parts, centres).cache()
+
+    def gap(a, b):
+        total = lambda v: reduce(operator.add, v, 0.0)  # noqa: E731  sum() makes up for rounding
+        if metric == "cosine":
+            n = total([p * p for p in a]) * total([p * p for p in b])
+            return 1 - total([p * r for p, r in zip(a, b, strict=True)]) / math.sqrt(n) if n else None
+        return math.sqrt(total([(p - r) * (p - r) for p, r in zip(a, b, strict=True)])) if metric == "euclid" else -total([p * r for p, r in zip(a, b, strict=True)])
+
+    def true(cells=None, name=int):
+        want = set()
+        for i, q in rows:
+            if i % 5 == 0 and q:
+                near = sorted((d, name(j)) for j, v in rows if v and (cells is None or cells[j] in nearest[i]) and (d := gap(q, v)) is not None)
+                want |= {(i, j, d, rank) for rank, (d, j) in enumerate(near[:7], 1)}
+        return want
+
+    assert {tuple(r) for r in search.batch_similar(asked, parts, 7, metric).collect()} == true()
+    cells = {r.part_id: r.cell for r in assigned.collect()}
+    nearest = {i: set(np.argsort(((centres - np.array(q)) ** 2).sum(1))[:3].tolist()) for i, q in rows if q}
+    named = assigned.withColumn("part_id", F.col("part_id").cast("string"))
+    assert cells[600] is None
+    assert {tuple(r) for r in ann.batch_search(named, centres, asked, 7, 3, metric).collect()} == true(cells, str)
+
+
+def test_batch_search_makes_no_row_for_each_pair(spark):
+    parts = spark.range(2_000).select(F.col("id").alias("part_id"), F.array(*[F.randn(i) for i in range(16)]).alias("vector")).cache()
+    asked = parts.where("part_id % 20 = 0").select(F.col("part_id").alias("query_id"), "vector")
+    centres = ann.train_centroids(parts)
+    found = ann.batch_search(ann.assign(parts, centres), centres, asked, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 1_000 and "Join" not in plan and "Generate" not in plan
+
+
+def test_centroids_sample_by_hash(spark):
+    """The bound on hashes cuts none of the sample."""
+    e = spark.range(5_000).select(F.col("id").alias("part_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    sample = [r.part_id for r in e.orderBy(F.xxhash64("part_id"), "part_id").limit(100).collect()]
+    assert sorted(ann.train_centroids(e, 100, 100, 0)[:, 0].tolist()) == sorted(map(float, sample))
+
+
 def test_suggest_matches_sequential_walk(spark):
     rows = [("red bolt", 0.9, ["a"], ["d"]), ("red nut", 0.8, ["a"], ["d"]), ("red ring", 0.7, ["b", "a"], ["d"]), ("rad ring", 0.6, ["c"], []), ("none", 0.5, [], [])]
     docs = suggest.phrase_documents(spark.createDataFrame(rows, "phrase string, prob double, labels array<string>, domains array<string>"))
