@@ -161,6 +161,15 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return values.reshape(len(column), width), there
 
 
+def places(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask with few places set, eight at a time."""
+    flat = np.ascontiguousarray(mask).ravel()
+    end = flat.size // 8 * 8
+    words = np.flatnonzero(flat[:end].view(np.uint64))
+    i, j = np.nonzero(flat[:end].reshape(-1, 8)[words])
+    return np.concatenate([words[i] * 8 + j, end + np.flatnonzero(flat[end:])])
+
+
 class Nearest:
     """The k nearest parts of each row of q among all parts added, by distance and id.
 
@@ -168,14 +177,14 @@ class Nearest:
     as the columns of orrery.functions.vectors do. So equal vectors are equally far wherever they stand, and ids settle ties.
     A pair without a distance (a zero vector by cosine, a value that is no number) is no neighbour."""
 
-    def __init__(self, q: np.ndarray, k: int, metric: str):
+    def __init__(self, q: np.ndarray, k: int, metric: str, block: int = 512):
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
-        self.q, self.k, self.metric = q, k, metric
+        self.q, self.k, self.metric, self.block = q, k, metric, block
         self.ids: np.ndarray | None = None
         self.row, self.distance = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
         self.norm = np.sqrt((q * q).sum(1))
-        self.sifted = self._sifted(q, self.norm)
+        self.sifted = self._sifted(q, self.norm) * (-2 if metric == "euclid" else -1)
 
     def _sifted(self, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
@@ -204,7 +213,7 @@ class Nearest:
         for rows, asked in groups if groups is not None else [(np.arange(len(x)), np.arange(len(self.q)))]:
             rows = rows[kept[rows]]
             own = np.ascontiguousarray(sifted[rows].T)
-            step = TILE_PAIRS // max(1, min(rows.size, TILE_PARTS))
+            step = min(self.block, TILE_PAIRS // max(1, min(rows.size, TILE_PARTS)))
             for low in range(0, asked.size, step):
                 some = asked[low : low + step]
                 for left in range(0, rows.size, TILE_PARTS):
@@ -231,9 +240,7 @@ class Nearest:
         k, worst = self.k, self.distance[asked, -1]
         with np.errstate(all="ignore"):
             key = self.sifted[asked] @ own
-            np.negative(key, out=key)
             if self.metric == "euclid":
-                key *= 2
                 key += norm * norm
             # Twice what rounding may add up to in products, lengths and what is known of the worst.
             length, high = self.norm[asked], np.max(norm, where=np.isfinite(norm), initial=0)
@@ -244,7 +251,7 @@ class Nearest:
                 bound[open_] = np.minimum(bound[open_], np.partition(key[open_], k - 1, axis=1)[:, k - 1] + 2 * margin[open_])
             bound[np.isnan(bound)] = np.inf
             bound = np.nextafter(bound.astype(key.dtype), key.dtype.type(np.inf))
-            i, j = np.divmod(np.flatnonzero(key <= bound[:, None]), len(rows))
+            i, j = np.divmod(places(key <= bound[:, None]), len(rows))
         if not i.size:
             return
         d = np.concatenate([self._exact(self.q[asked[i[s : s + EXACT_PAIRS]]], x[rows[j[s : s + EXACT_PAIRS]]]) for s in range(0, i.size, EXACT_PAIRS)])
@@ -267,9 +274,9 @@ class Nearest:
         return i, self.ids[self.row[i, j]] if i.size else np.zeros(0, np.int64), self.distance[i, j]
 
 
-def nearest(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", cells: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def nearest(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", cells: Callable[[np.ndarray], np.ndarray] | None = None, block: int = 512) -> DataFrame:
     """query_id, part_id, distance, rank: the k nearest parts (part_id, vector) of each row of queries (query_id, vector).
-    cells gives the cells in which each query looks; parts have theirs in the column cell then.
+    cells gives the cells in which each query looks; parts have theirs in the column cell then. block queries at most are in a product.
 
     Queries go in blocks of 100,000 at most against all parts, each task keeping its k best, so nothing grows with the
     product but the arithmetic, and neither driver nor tasks hold more than a block of queries."""
@@ -287,7 +294,7 @@ def nearest(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine"
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q, wanted = shared.value
-            best, kind = Nearest(q, k, metric), None
+            best, kind = Nearest(q, k, metric, block), None
             for batch in batches:
                 x, there = matrix(batch.column("vector"))
                 kind, groups = batch.schema.field("part_id").type, None
@@ -308,6 +315,6 @@ def nearest(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine"
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def batch_similar(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def batch_similar(queries: DataFrame, parts: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """The k nearest parts of each query row (query_id, vector) by number: query_id, part_id, distance, rank. See nearest."""
-    return nearest(queries.withColumn("query_id", F.col("query_id").cast("long")), parts.withColumn("part_id", F.col("part_id").cast("long")), k, metric)
+    return nearest(queries.withColumn("query_id", F.col("query_id").cast("long")), parts.withColumn("part_id", F.col("part_id").cast("long")), k, metric, block=block)
